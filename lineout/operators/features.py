@@ -69,29 +69,32 @@ def index_saved_levels(column: str, levels: Sequence[str], output: str | None =
     )
 
 
-def spline_sql(column: str, low: float, high: float, pieces: int = 10) -> list[str]:
-    """Cubic B-spline basis on evenly spaced knots over ``[low, high]``, as SQL.
+def spline_place_sql(column: str, low: float, high: float, pieces: int = 10) -> dict[str, str]:
+    """Knot interval ``k`` (0-based) of a value and its position ``t`` in it, as SQL.
 
-    Gives ``pieces + 3`` expressions that sum to 1 inside the range. Values
-    outside are held at the nearer end.
+    Values outside ``[low, high]`` are held at the nearer end.
     """
-    step = (high - low) / pieces
     held = f"least(greatest({column}, {float(low)!r}D), {float(high)!r}D)"
+    position = f"CASE WHEN {column} IS NOT NULL THEN ({held} - {float(low)!r}D) / {(high - low) / pieces!r}D END"
+    interval = f"least(floor({position}), {pieces - 1})"
+    return {"k": interval, "t": f"{position} - {interval}"}
 
-    def bump(start: int) -> str:
-        u = f"(({held} - {float(low)!r}D) / {step!r}D - {start}D)"
-        v = f"(4D - {u})"
 
-        def middle(t: str) -> str:
-            return f"(power({t}, 3) - 4D * power({t} - 1D, 3)) / 6D"
+def spline_sql(k: str, t: str, pieces: int = 10) -> list[str]:
+    """Cubic B-spline basis on evenly spaced knots, as SQL over interval and position.
 
-        return (
-            f"CASE WHEN {column} IS NULL THEN NULL WHEN {u} <= 0 OR {u} >= 4 THEN 0D "
-            f"WHEN {u} < 1 THEN power({u}, 3) / 6D WHEN {u} < 2 THEN {middle(u)} "
-            f"WHEN {u} < 3 THEN {middle(v)} ELSE power({v}, 3) / 6D END"
-        )
+    Gives ``pieces + 3`` expressions that sum to 1; four are above zero at a time.
+    """
+    rest = f"(1D - {t})"
+
+    def hump(u: str) -> str:
+        return f"(3D * {u} * {u} * {u} - 6D * {u} * {u} + 4D) / 6D"
 
-    return [bump(i - 3) for i in range(pieces + 3)]
+    parts = [f"{rest} * {rest} * {rest} / 6D", hump(t), hump(rest), f"{t} * {t} * {t} / 6D"]
+    arms = " ".join(f"WHEN {i} THEN {part}" for i, part in enumerate(parts))
+    return [
+        f"CASE WHEN {k} IS NULL THEN NULL ELSE CASE {j} - {k} {arms} ELSE 0D END END" for j in range(pieces + 3)
+    ]
 
 
 def kernel_sql(columns: Sequence[str], gamma: float, size: int = 32, seed: int = S.SEED) -> list[str]:

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lineout import schema as S
-from lineout.operators.features import index_levels, kernel_sql, spline_sql
+from lineout.operators.features import index_levels, kernel_sql, spline_place_sql, spline_sql
 
 # The five feature sets compared for the hit model, by name.
 FEATURE_SETS = {
@@ -97,10 +97,15 @@ def class_labels(model: PipelineModel) -> list[str]:
     return list(model.stages[0].labels)
 
 
+def _without(df: DataFrame, *names: str) -> list[str]:
+    """Columns to carry along when columns of these names are added."""
+    return [c for c in df.columns if c not in names]
+
+
 def score_hits(model: PipelineModel, df: DataFrame, name: str = "p") -> DataFrame:
-    """Add the probability of a hit to each row."""
+    """Add the probability of a hit to each row, replacing a column of that name."""
     chance = vector_to_array("probability")[1].alias(name)
-    return model.transform(df).select(*df.columns, chance)
+    return model.transform(df).select(*_without(df, name), chance)
 
 
 def score_classes(model: PipelineModel, df: DataFrame, name: str = "fit", labels: Sequence | None = None) -> DataFrame:
@@ -108,14 +113,15 @@ def score_classes(model: PipelineModel, df: DataFrame, name: str = "fit", labels
     code = F.col("prediction").cast("int")
     if labels is not None:
         code = F.try_element_at(F.array(*[F.lit(int(v)) for v in labels]), code + 1)
+    listed = f"{name}_probabilities"
     return model.transform(df).select(
-        *df.columns, code.alias(name), vector_to_array("probability").alias(f"{name}_probabilities"),
+        *_without(df, name, listed), code.alias(name), vector_to_array("probability").alias(listed),
     )
 
 
 def predict_only(model: PipelineModel, df: DataFrame, name: str = "fit") -> DataFrame:
     """Add the predicted class of a model that gives no probabilities."""
-    return model.transform(df).select(*df.columns, F.col("prediction").cast("int").alias(name))
+    return model.transform(df).select(*_without(df, name), F.col("prediction").cast("int").alias(name))
 
 
 def importance(model: PipelineModel, numeric: Sequence[str], categorical: Sequence[str], spark) -> DataFrame:
@@ -242,7 +248,7 @@ def feature_count_error(
             [c for c in numeric if c in kept] or [numeric[0]], [c for c in categorical if c in kept], label, **options,
         )
         result = cross_validate(df, pipeline, ParamGridBuilder().build(), label, folds)
-        rows.append((size, 1.0 - result.avgMetrics[0]))
+        rows.append((size, 1.0 - float(result.avgMetrics[0])))
         size //= 2
     return df.sparkSession.createDataFrame(rows, "features int, error double")
 
@@ -264,7 +270,7 @@ def score_two_stage(
         at = F.col("_types")[labels.index(kind)] if kind in labels else F.lit(0.0)
         chances[f"prob_{kind}"] = F.col("_hit") * at
     best = F.array_max(F.array(*[
-        F.struct(F.col(name), F.lit(int(name[-1])).alias("class")) for name in chances
+        F.struct(F.col(name).alias("chance"), F.lit(int(name[-1])).alias("class")) for name in chances
     ]))
     return both.withColumns(chances).withColumn("fit", best["class"]).drop("_hit", "_types")
 
@@ -285,13 +291,15 @@ def spline_logit(
     by ``cross_validate``, stands in for a smoothness penalty estimated from the
     data; the ranges fix the knots.
     """
-    texts, names = [], []
+    place, curves, names = {}, [], []
     for i, (column, (low, high)) in enumerate(ranges.items()):
-        curve = spline_sql(column, low, high, pieces)
-        texts += curve
+        place |= {f"_{part}{i}": text for part, text in spline_place_sql(column, low, high, pieces).items()}
+        curve = spline_sql(f"_k{i}", f"_t{i}", pieces)
+        curves += curve
         names += [f"_s{i}_{j}" for j in range(len(curve))]
     return Pipeline(stages=[
-        _computed(texts, names), VectorAssembler(inputCols=names, outputCol="_curves"),
+        _computed(list(place.values()), list(place)), _computed(curves, names),
+        VectorAssembler(inputCols=names, outputCol="_curves"),
         *_one_hot_features(["_curves"], categorical),
         LogisticRegression(labelCol=label, regParam=ridge, maxIter=iterations, standardization=False),
     ])
@@ -329,5 +337,5 @@ def tune_svm(
         for cost in costs:
             pipeline = kernel_svm(scaled, categorical, label, gamma, cost, **options)
             result = cross_validate(df, pipeline, ParamGridBuilder().build(), label, folds, parallelism)
-            rows.append((float(gamma), float(cost), 1.0 - result.avgMetrics[0]))
+            rows.append((float(gamma), float(cost), 1.0 - float(result.avgMetrics[0])))
     return df.sparkSession.createDataFrame(rows, "gamma double, cost double, error double")

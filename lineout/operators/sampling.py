@@ -23,6 +23,7 @@ from lineout import schema as S
 from lineout.operators.joins import null_safe_join
 
 PREFIX_LENGTH = 4  # hex digits: 65 536 buckets
+MAX_BROADCAST_GROUPS = 50_000  # one short row each
 _HASH, _PREFIX = "_hash", "_prefix"
 
 
@@ -55,15 +56,15 @@ def _hash_at_rank(hashed: DataFrame, edges: DataFrame, by: Sequence[str]) -> Dat
     """Hash of the row at a wanted rank inside its bucket.
 
     ``edges`` holds (by..., prefix, need) and other columns; the result adds
-    ``_limit``.
+    ``_limit``. Only rows of those buckets are ranked.
     """
     keys = [*by, _PREFIX]
-    bucket = null_safe_join(hashed.select(*keys, _HASH), edges.select(*keys), keys, "left_semi")
-    ranked = W.partitionBy(*keys).orderBy(_HASH)
+    bucket = null_safe_join(hashed.select(*keys, _HASH), edges, keys, "inner")
+    ranked = W.partitionBy(*keys, "_need").orderBy(_HASH)
     tied = F.lead(_HASH).over(ranked) == F.col(_HASH)
     bucket = bucket.select("*", F.row_number().over(ranked).alias("_rank"), tied.alias("_tied"))
-    at = null_safe_join(edges, bucket, keys, "inner", F.col("_need") == F.col("_rank"))
     failure = F.raise_error(F.lit("row key is not unique: no exact sample exists"))
+    at = bucket.filter(F.col("_rank") == F.col("_need"))
     return at.withColumn("_limit", F.when(F.col("_tied"), failure).otherwise(F.col(_HASH)))
 
 
@@ -102,26 +103,31 @@ def exact_sample(
 
 def stratified_sample(
     df: DataFrame, by: Sequence[str] | str, share: float, key: str = "row_key", seed: int = S.SEED,
+    max_broadcast_groups: int = MAX_BROADCAST_GROUPS,
 ) -> DataFrame:
     """Sample ``round(share * n)`` rows within each group.
 
-    Rows meet their group's limit through (group, hash prefix), which is spread
-    evenly however few or uneven the groups are.
+    The groups are counted first. Up to ``max_broadcast_groups`` of them, each
+    row is compared with its group's cut hash where it lies. Beyond that, rows
+    meet the cut through (group, hash prefix), a key that stays evenly spread
+    however few or uneven the groups are.
     """
     by = [by] if isinstance(by, str) else list(by)
     hashed = _hashed(df, key, seed)
     slim = hashed.select(*by, _HASH, _PREFIX)
     take = share_of(share)(F.col("_total"))
-    buckets = (
-        _bucket_counts(slim, by).withColumn("_need", take - F.col("_upto") + F.col("_n"))
-        .filter(F.col("_need") > 0)
-    )
+    buckets = _bucket_counts(slim, by).withColumn("_need", take - F.col("_upto") + F.col("_n"))
     keys = [*by, _PREFIX]
-    whole = buckets.filter(F.col("_need") >= F.col("_n")).select(*keys, F.lit("g").alias("_limit"))
-    edges = buckets.filter(F.col("_need") < F.col("_n")).select(*keys, "_need")
-    limits = whole.unionByName(_hash_at_rank(slim, edges, by).select(*keys, "_limit"))
+    edges = buckets.filter((F.col("_need") > 0) & (F.col("_need") <= F.col("_n"))).select(*keys, "_need")
+    limits = _hash_at_rank(slim, edges, by).select(*keys, "_limit")  # one row per group
     inside = F.col(_HASH) <= F.col("_limit")
-    return null_safe_join(hashed, limits, keys, "left_semi", inside).drop(_HASH, _PREFIX)
+    groups = df.select(*by).distinct().limit(max_broadcast_groups + 1).count()
+    if groups <= max_broadcast_groups:
+        kept = null_safe_join(hashed, F.broadcast(limits.drop(_PREFIX)), by, "left_semi", inside)
+    else:
+        whole = buckets.filter(F.col("_need") > F.col("_n")).select(*keys, F.lit("g").alias("_limit"))
+        kept = null_safe_join(hashed, whole.unionByName(limits), keys, "left_semi", inside)
+    return kept.drop(_HASH, _PREFIX)
 
 
 def three_way_split(

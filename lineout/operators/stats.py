@@ -198,7 +198,7 @@ def tukey_pairs(
         width = P.tukey_quantile(level, len(levels), dof)
         for i, low in enumerate(levels):
             for high in levels[i + 1:]:
-                diff = high[3] - low[3]
+                diff = float(high[3] - low[3])
                 error = float(np.sqrt(noise / 2 * (1 / high[2] + 1 / low[2])))
                 out.append((
                     term, high[1], low[1], diff, diff - width * error, diff + width * error,
@@ -246,7 +246,7 @@ def smooth_trend(
 
 
 def box_summary(df: DataFrame, y: str, by: Sequence[str], whisker: float = 1.5) -> DataFrame:
-    """Exact quartiles and whisker ends per group.
+    """Exact quartiles, whisker ends and number of outliers per group.
 
     Quartiles interpolate between order statistics at (n - 1) q. Whiskers reach
     the most extreme values within ``whisker`` times the interquartile range.
@@ -281,11 +281,14 @@ def box_summary(df: DataFrame, y: str, by: Sequence[str], whisker: float = 1.5)
     reach = (F.col("q3") - F.col("q1")) * whisker
     fences = box.withColumns({"_low": F.col("q1") - reach, "_high": F.col("q3") + reach})
     inside = null_safe_join(
-        counts.select(*by, "_v"), fences.select(*by, "_low", "_high"), by, "inner",
+        counts, fences.select(*by, "_low", "_high"), by, "inner",
         F.col("_v").between(F.col("_low"), F.col("_high")),
     )
-    tips = inside.groupBy(*by).agg(F.min("_v").alias("whisker_low"), F.max("_v").alias("whisker_high"))
-    return null_safe_join(box, tips, by, "left")
+    tips = inside.groupBy(*by).agg(
+        F.min("_v").alias("whisker_low"), F.max("_v").alias("whisker_high"), F.sum("c").alias("_inside"),
+    )
+    table = null_safe_join(box, tips, by, "left")
+    return table.withColumn("outliers", F.col("n") - F.col("_inside")).drop("_inside")
 
 
 def grouped_bars(means: DataFrame, rows: str, columns: str, levels: Sequence[str], value: str) -> DataFrame:

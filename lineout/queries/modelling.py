@@ -19,9 +19,9 @@ from lineout.sources.write import materialise
 SMALL = {"trees": 20, "depth": 6}
 
 
-def _parts(t) -> tuple[DataFrame, DataFrame]:
+def _parts(t, required=S.CATEGORIES) -> tuple[DataFrame, DataFrame]:
     """Training and hold-out rows, from one stored copy of the split table."""
-    table = materialise(t.split.dropna(subset=list(S.CATEGORIES)))
+    table = materialise(t.split.dropna(subset=list(required)))
     return table.filter(F.col("split") == "train"), sampling.out_of_training(table)
 
 
@@ -46,7 +46,7 @@ def _(t):
     for name, (numeric, categorical) in models.FEATURE_SETS.items():
         mtry = 2 if name == "model 5" else None
         model = models.forest(numeric, categorical, mtry=mtry, **SMALL).fit(train)
-        scored = models.score_hits(model, rest)
+        scored = materialise(models.score_hits(model, rest).select("split", "hit", "p"))
         test = scored.filter(F.col("split") == "test")
         best = evaluate.best_cutoff(evaluate.roc_curve(test))
         fitted = evaluate.apply_cutoff(scored, best)
@@ -190,7 +190,8 @@ WITH {_BAYES},
   LEFT JOIN shares c ON c.class = terms.class AND c.feature = 'fielding_team' AND c.level = fielding_team)
 SELECT row_key, hit_type, CAST(arg_max(class, score) AS INTEGER) AS fit FROM scores GROUP BY row_key, hit_type""")
 def _(t):
-    train, test = (t.split.filter(F.col("split") == part) for part in ("train", "test"))
+    train, rest = _parts(t, list(_NUMERIC))
+    test = rest.filter(F.col("split") == "test")
     fitted = bayes.fit_naive_bayes(train, "hit_type", _NUMERIC, _CATEGORICAL)
     return bayes.predict_naive_bayes(test, fitted, _NUMERIC, _CATEGORICAL).select("row_key", "hit_type", "fit")
 

@@ -118,7 +118,7 @@ WITH {ZONED},
   quantile_cont(hit_angle, 0.5) AS median, quantile_cont(hit_angle, 0.75) AS q3 FROM zoned
   WHERE location <> 'Out of Zone' GROUP BY ALL)
 SELECT q.stand, q.location, n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
- min(hit_angle) AS whisker_low, max(hit_angle) AS whisker_high
+ min(hit_angle) AS whisker_low, max(hit_angle) AS whisker_high, CAST(min(n) - count(*) AS BIGINT) AS outliers
 FROM q JOIN zoned z ON q.stand = z.stand AND q.location = z.location
  AND hit_angle BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY ALL""")
 def _(t):
@@ -130,7 +130,8 @@ def _(t):
 WITH q AS (SELECT stand, CAST(count(*) AS BIGINT) AS n, quantile_cont(hit_distance_sc, 0.25) AS q1,
   quantile_cont(hit_distance_sc, 0.5) AS median, quantile_cont(hit_distance_sc, 0.75) AS q3 FROM pitches GROUP BY ALL)
 SELECT q.stand, n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
- min(hit_distance_sc) AS whisker_low, max(hit_distance_sc) AS whisker_high
+ min(hit_distance_sc) AS whisker_low, max(hit_distance_sc) AS whisker_high,
+ CAST(min(n) - count(*) AS BIGINT) AS outliers
 FROM q JOIN pitches z ON q.stand = z.stand
  AND hit_distance_sc BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY ALL""")
 def _(t):
