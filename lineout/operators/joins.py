@@ -61,21 +61,30 @@ def append(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def apply_per_key(keys: DataFrame, fn: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
+def apply_per_key(keys: DataFrame, fn: Callable[..., pd.DataFrame], schema: str, rows: int = 10_000) -> DataFrame:
     """Call a table-returning function once per row of a key table.
 
     ``fn`` takes the key columns and returns a frame. Keys are made distinct
-    first; each task streams through its share of them, so no task ever holds
-    the output of more than one key.
+    first, and each task streams through its share of them: results are passed
+    on whenever about ``rows`` rows have gathered.
     """
     names = keys.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for batch in batches:
             for row in batch[names].itertuples(index=False):
-                yield fn(*row)
-
-    return keys.distinct().mapInPandas(run, schema)
+                held.append(fn(*row))
+                size += len(held[-1])
+                if size >= rows:
+                    yield pd.concat(held)
+                    held, size = [], 0
+        if held:
+            yield pd.concat(held)
+
+    # Keys are few bytes but each may be much work: spread them over all cores.
+    cores = keys.sparkSession.sparkContext.defaultParallelism
+    return keys.distinct().repartition(cores).mapInPandas(run, schema)
 
 
 def zone_code(

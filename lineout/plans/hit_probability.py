@@ -35,7 +35,7 @@ def prepare(raw: DataFrame, until: str | None = None, key: Sequence[str] = S.RAW
     df = clean.with_outcomes(clean.clean_extract(clean.with_row_key(raw, key)))
     if until is not None:
         df = clean.until(df, until)
-    rows = clean.complete_cases(clean.modelling_rows(df), S.CATEGORIES)
+    rows = clean.complete_cases(clean.modelling_rows(df), S.CATEGORIES).select(*S.MODEL_COLUMNS)
     return materialise(sampling.three_way_split(materialise(rows)))
 
 

@@ -118,7 +118,7 @@ def _(t):
 WITH c AS (SELECT split, {_COUNTS} FROM scored WHERE split <> 'train' GROUP BY split)
 SELECT split, tp, fp, fn, tn, {metric_sql('tp', 'fp', 'fn', 'tn')} FROM c""")
 def _(t):
-    return rounded(evaluate.metrics(sampling.out_of_training(t.scored_split), by=["split"]), *_METRICS)
+    return rounded(evaluate.metrics(sampling.out_of_training(t.split), by=["split"]), *_METRICS)
 
 
 @query("e10_miss_profile", """
@@ -140,7 +140,7 @@ CALIBRATION = f"""predicted AS (SELECT {ANGLE_BIN} AS angle_bin, {SPEED_BIN} AS
 
 
 def calibration(t) -> DataFrame:
-    predicted = reports.predicted_by_bucket(sampling.out_of_training(t.scored_split))
+    predicted = reports.predicted_by_bucket(sampling.out_of_training(t.split))
     return reports.compare_buckets(predicted, reports.empirical_by_bucket(t.clean))
 
 

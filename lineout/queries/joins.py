@@ -46,7 +46,7 @@ FROM predicted a LEFT JOIN observed b
  ON a.angle_bin IS NOT DISTINCT FROM b.angle_bin AND a.speed_bin IS NOT DISTINCT FROM b.speed_bin""")
 def _(t):
     # The observed side keeps rows without measures, so missing buckets meet missing buckets.
-    predicted = reports.predicted_by_bucket(sampling.out_of_training(t.scored_split))
+    predicted = reports.predicted_by_bucket(sampling.out_of_training(t.split))
     observed = reports.empirical_by_bucket(t.labelled.filter(F.col("hc_x") != 1))
     return rounded(reports.compare_buckets(predicted, observed), "ave_prob", "empirical_ave")
 
@@ -106,7 +106,7 @@ WITH {_BUCKETS}
 SELECT angle_bin, speed_bin, round(ave_prob, 6) AS ave_prob FROM predicted
 ORDER BY speed_bin DESC NULLS LAST, angle_bin DESC NULLS LAST""")
 def _(t):
-    table = reports.predicted_by_bucket(sampling.out_of_training(t.scored_split))
+    table = reports.predicted_by_bucket(sampling.out_of_training(t.split))
     return rounded(table, "ave_prob").orderBy(F.desc_nulls_last("speed_bin"), F.desc_nulls_last("angle_bin"))
 
 
@@ -118,5 +118,5 @@ SELECT CAST((angle_bin - 1) * 10 - 90 AS VARCHAR) || ' to ' || CAST(angle_bin *
  printf('%.1f%%', round_even(ave_prob, 3) * 100) AS "Predicted Probability of a Hit"
 FROM predicted ORDER BY 1, 2""")
 def _(t):
-    table = reports.predicted_by_bucket(sampling.out_of_training(t.scored_split))
+    table = reports.predicted_by_bucket(sampling.out_of_training(t.split))
     return reports.bucket_display(table, order="label")

@@ -31,6 +31,10 @@ COORDINATES = ("hc_x", "hc_y")
 SCALED = ("hit_distance_sc", "hit_speed", "hit_angle", "hc_x", "hc_y")
 SCALED_WITH_ANGLE = SCALED + ("hor_angle",)
 CATEGORIES = ("stand", "fielding_team", "home_team")
+# What the models and their reports read; the rest of a wide row is left behind.
+MODEL_COLUMNS = (
+    "row_key", "game_date", "events", "hit", "hit_type", "run_value", *CATEGORIES, *SCALED_WITH_ANGLE,
+)
 
 # --- fixed values: these must equal the published ones for right results -----
 HIT_WORDS = ("Single", "Double", "Triple", "Home Run")

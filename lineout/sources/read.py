@@ -44,6 +44,15 @@ def read_database(
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a scan that comes in fewer pieces than there are cores.
+
+    Large tables come in more pieces than that and pass through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def season_batters(pitches: DataFrame, season: int) -> DataFrame:
     """Batters with a ball in play in a season, with the season attached."""
     return (
