@@ -16,10 +16,10 @@ from pyspark.ml.classification import (
     LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,6 +35,7 @@ FEATURE_SETS = {
     "model 5": (("hit_speed", "hit_angle"), S.CATEGORIES),
 }
 TYPE_FEATURES = (("hit_speed", "hit_angle"), S.CATEGORIES)
+LABEL = "_label"  # class numbers assigned by the pipeline itself
 MAX_BINS = 64  # at least the number of levels of the widest category, plus one
 
 
@@ -76,7 +77,7 @@ def forest(
     return Pipeline(stages=[*_tree_features(numeric, categorical), model])
 
 
-def index_classes(label: str = "hit_type", output: str = "_label") -> StringIndexer:
+def index_classes(label: str = "hit_type", output: str = LABEL) -> StringIndexer:
     """Number the classes present in a subset from 0, unused ones left out."""
     return StringIndexer(inputCol=label, outputCol=output, stringOrderType="alphabetAsc", handleInvalid="skip")
 
@@ -84,7 +85,7 @@ def index_classes(label: str = "hit_type", output: str = "_label") -> StringInde
 def hits_only_forest(label: str = "hit_type", **options) -> Pipeline:
     """Forest over the classes present in a subset, numbered afresh."""
     numeric, categorical = options.pop("numeric", TYPE_FEATURES[0]), options.pop("categorical", TYPE_FEATURES[1])
-    inner = forest(numeric, categorical, label="_label", **options)
+    inner = forest(numeric, categorical, label=LABEL, **options)
     return Pipeline(stages=[index_classes(label), *inner.getStages()])
 
 
@@ -92,9 +93,24 @@ def only_hits(df: DataFrame, label: str = "hit_type") -> DataFrame:
     return df.filter(F.col(label) != 0)
 
 
-def class_labels(model: PipelineModel) -> list[str]:
-    """Labels of a model built by ``hits_only_forest``, in class-number order."""
-    return list(model.stages[0].labels)
+def _is_label_index(stage) -> bool:
+    return isinstance(stage, StringIndexerModel) and stage.getOutputCol() == LABEL
+
+
+def class_labels(model: PipelineModel) -> list[int] | None:
+    """Class values in class-number order, if the model numbered them itself."""
+    found = [stage.labels for stage in model.stages if _is_label_index(stage)]
+    return [int(v) for v in found[0]] if found else None
+
+
+def scorer(model: PipelineModel) -> PipelineModel:
+    """The model without its label stage, so rows of any outcome can be scored."""
+    return PipelineModel([stage for stage in model.stages if not _is_label_index(stage)])
+
+
+def _class_value(model: PipelineModel) -> Column:
+    code, labels = F.col("prediction").cast("int"), class_labels(model)
+    return code if labels is None else F.try_element_at(F.array(*[F.lit(v) for v in labels]), code + 1)
 
 
 def _without(df: DataFrame, *names: str) -> list[str]:
@@ -105,23 +121,20 @@ def _without(df: DataFrame, *names: str) -> list[str]:
 def score_hits(model: PipelineModel, df: DataFrame, name: str = "p") -> DataFrame:
     """Add the probability of a hit to each row, replacing a column of that name."""
     chance = vector_to_array("probability")[1].alias(name)
-    return model.transform(df).select(*_without(df, name), chance)
+    return scorer(model).transform(df).select(*_without(df, name), chance)
 
 
-def score_classes(model: PipelineModel, df: DataFrame, name: str = "fit", labels: Sequence | None = None) -> DataFrame:
+def score_classes(model: PipelineModel, df: DataFrame, name: str = "fit") -> DataFrame:
     """Add the predicted class and the list of class probabilities."""
-    code = F.col("prediction").cast("int")
-    if labels is not None:
-        code = F.try_element_at(F.array(*[F.lit(int(v)) for v in labels]), code + 1)
     listed = f"{name}_probabilities"
-    return model.transform(df).select(
-        *_without(df, name, listed), code.alias(name), vector_to_array("probability").alias(listed),
+    return scorer(model).transform(df).select(
+        *_without(df, name, listed), _class_value(model).alias(name), vector_to_array("probability").alias(listed),
     )
 
 
 def predict_only(model: PipelineModel, df: DataFrame, name: str = "fit") -> DataFrame:
     """Add the predicted class of a model that gives no probabilities."""
-    return model.transform(df).select(*_without(df, name), F.col("prediction").cast("int").alias(name))
+    return scorer(model).transform(df).select(*_without(df, name), _class_value(model).alias(name))
 
 
 def importance(model: PipelineModel, numeric: Sequence[str], categorical: Sequence[str], spark) -> DataFrame:
@@ -253,26 +266,24 @@ def feature_count_error(
     return df.sparkSession.createDataFrame(rows, "features int, error double")
 
 
-def score_two_stage(
-    hit_model: PipelineModel, type_model: PipelineModel, df: DataFrame, labels: Sequence[str] | None = None,
-) -> DataFrame:
+def score_two_stage(hit_model: PipelineModel, type_model: PipelineModel, df: DataFrame) -> DataFrame:
     """Combine hit-or-out with type-given-hit into class probabilities.
 
     Adds ``prob_0`` .. ``prob_4`` and the most probable class as ``fit``.
     """
-    labels = [int(v) for v in (labels or class_labels(type_model))]
+    labels = class_labels(type_model)
     first = score_hits(hit_model, df, "_hit")
-    both = type_model.transform(first).select(
-        *df.columns, "_hit", vector_to_array("probability").alias("_types"),
-    )
-    chances = {"prob_0": 1 - F.col("_hit")}
-    for kind in S.RUN_VALUES:
-        at = F.col("_types")[labels.index(kind)] if kind in labels else F.lit(0.0)
-        chances[f"prob_{kind}"] = F.col("_hit") * at
+    chances = [f"prob_{kind}" for kind in (0, *S.RUN_VALUES)]
+    kept = _without(df, "fit", *chances)
+    both = scorer(type_model).transform(first).select(*kept, "_hit", vector_to_array("probability").alias("_types"))
+    both = both.withColumns({"prob_0": 1 - F.col("_hit")} | {
+        f"prob_{kind}": F.col("_hit") * (F.col("_types")[labels.index(kind)] if kind in labels else F.lit(0.0))
+        for kind in S.RUN_VALUES
+    })
     best = F.array_max(F.array(*[
-        F.struct(F.col(name).alias("chance"), F.lit(int(name[-1])).alias("class")) for name in chances
+        F.struct(F.col(c).alias("chance"), F.lit(kind).alias("class")) for kind, c in enumerate(chances)
     ]))
-    return both.withColumns(chances).withColumn("fit", best["class"]).drop("_hit", "_types")
+    return both.withColumn("fit", best["class"]).drop("_hit", "_types")
 
 
 def _computed(expressions: Sequence[str], names: Sequence[str]) -> SQLTransformer:
@@ -322,7 +333,7 @@ def kernel_svm(
         _computed(kernel_sql(scaled, gamma, size, seed), names),
         VectorAssembler(inputCols=names, outputCol="_kernel"),
         *_one_hot_features(["_kernel"], categorical),
-        OneVsRest(classifier=machine, labelCol=label),
+        index_classes(label), OneVsRest(classifier=machine, labelCol=LABEL),
     ])
 
 
@@ -336,6 +347,6 @@ def tune_svm(
     for gamma in gammas:
         for cost in costs:
             pipeline = kernel_svm(scaled, categorical, label, gamma, cost, **options)
-            result = cross_validate(df, pipeline, ParamGridBuilder().build(), label, folds, parallelism)
+            result = cross_validate(df, pipeline, ParamGridBuilder().build(), LABEL, folds, parallelism)
             rows.append((float(gamma), float(cost), 1.0 - float(result.avgMetrics[0])))
     return df.sparkSession.createDataFrame(rows, "gamma double, cost double, error double")

@@ -57,8 +57,8 @@ def _(t):
     return out
 
 
-def _type_metrics(model, rest, label="hit_type", labels=None):
-    return evaluate.class_metrics(models.score_classes(model, rest, labels=labels), label, "fit")
+def _type_metrics(model, rest):
+    return evaluate.class_metrics(models.score_classes(model, rest), "hit_type", "fit")
 
 
 @query("c2_type_forest")
@@ -74,7 +74,7 @@ def _(t):
 def _(t):
     train, rest = _parts(t)
     model = models.hits_only_forest(**SMALL).fit(models.only_hits(train))
-    return _type_metrics(model, models.only_hits(rest), labels=models.class_labels(model))
+    return _type_metrics(model, models.only_hits(rest))
 
 
 @query("c4_two_stage")
