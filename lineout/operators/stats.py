@@ -133,11 +133,13 @@ def anova_two_way(df: DataFrame, y: str, a: str, b: str, max_cells: int = MAX_CE
 def mean_differences(means: DataFrame, level: str) -> DataFrame:
     """Difference of means for each pair of levels, from a table of level means.
 
-    Each level row is repeated once per later level through a rank equi-join on
-    the sorted level list, which holds levels only, never data rows.
+    The pairs come from one sorted list of levels, never from data rows; more
+    than ``MAX_CELLS`` levels are refused.
     """
-    levels = means.select(F.col(level).alias("level"), "n", "mean")
+    levels = means.select(F.col(level).alias("level"), "n", "mean").limit(MAX_CELLS + 1)
     listed = levels.agg(F.sort_array(F.collect_list(F.struct("level", "n", "mean"))).alias("all"))
+    failure = F.raise_error(F.lit(f"more than {MAX_CELLS} levels: not a category"))
+    listed = listed.select(F.when(F.size("all") > MAX_CELLS, failure).otherwise(F.col("all")).alias("all"))
     return listed.select(F.posexplode("all").alias("i", "lo"), "all").select(
         "lo", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("hi"),
     ).select(

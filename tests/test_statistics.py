@@ -133,3 +133,10 @@ def test_mean_differences_covers_each_pair_once(spark):
     means = spark.createDataFrame([("a", 2, 1.0), ("b", 3, 4.0), ("c", 4, 9.0)], "g string, n long, mean double")
     got = {(r["level_1"], r["level_2"]): r["diff"] for r in stats.mean_differences(means, "g").collect()}
     assert got == {("b", "a"): 3.0, ("c", "a"): 8.0, ("c", "b"): 5.0}
+
+
+def test_too_many_levels_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(stats, "MAX_CELLS", 2)
+    means = spark.createDataFrame([("a", 2, 1.0), ("b", 3, 4.0), ("c", 4, 9.0)], "g string, n long, mean double")
+    with pytest.raises(Exception, match="not a category"):
+        stats.mean_differences(means, "g").collect()
