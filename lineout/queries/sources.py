@@ -32,21 +32,21 @@ def _(t):
     return read.latest_per_key(read.balls_in_play(t.balls), "batter", "b_height", "game_date", after_season=1994)
 
 
-def _quarters(batter: int, year: int) -> pd.DataFrame:
-    quarter = list(range(1, 5))
-    return pd.DataFrame({
-        "batter": batter, "year": year, "quarter": quarter,
-        "extract": [f"{year}/{batter}-q{q}.csv" for q in quarter],
-    })
-
-
 @query("s6_table_function_per_key", """
 SELECT batter, year, CAST(q AS INTEGER) AS quarter,
  year || '/' || batter || '-q' || q || '.csv' AS extract
 FROM (SELECT DISTINCT batter, year FROM balls), (SELECT unnest([1, 2, 3, 4]) AS q)""")
 def _(t):
+    # Defined here so that it travels to the workers by value.
+    def quarters(batter: int, year: int) -> pd.DataFrame:
+        quarter = list(range(1, 5))
+        return pd.DataFrame({
+            "batter": batter, "year": year, "quarter": quarter,
+            "extract": [f"{year}/{batter}-q{q}.csv" for q in quarter],
+        })
+
     keys = t.balls.select("batter", "year")
-    return joins.apply_per_key(keys, _quarters, "batter long, year int, quarter int, extract string")
+    return joins.apply_per_key(keys, quarters, "batter long, year int, quarter int, extract string")
 
 
 _TEXT = ("events", "inning_topbot", "pitch_type")
