@@ -42,7 +42,7 @@ def differences(spark_df, con, sql: str) -> str | None:
     if got_names != want_names:
         return f"columns {got_names} != {want_names}"
     spark_kinds = {f.name: f.dataType.simpleString() for f in spark_df.schema}
-    pairs = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE"}
+    pairs = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN"}
     for name, kind in spark_kinds.items():
         if kinds[name] not in ("NUMBER", "STRING", "Date") and pairs.get(kind) != kinds[name]:
             return f"type of {name}: {kind} != {kinds[name]}"
