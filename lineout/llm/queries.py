@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineout.llm import chat, mixing, rules, urls
+from lineout.llm import chat, mixing, near_dedup, rules, urls
 from lineout.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 def all_queries() -> dict[str, Query]:
     return {
+        "op1_near_dedup": _over("documents", near_dedup.op1_near_dedup),
         "op4_url_filter": _over("pages", urls.op4_url_filter),
         "op6_quality_rules": lambda spark, folder: rules.op6_quality_rules(
             table(spark, folder, "documents"), table(spark, folder, "labels")
