@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineout.llm import chat, mixing, near_dedup, rules, urls
+from lineout.llm import chat, lm_scores, mixing, near_dedup, resampling, rules, toxicity, urls
 from lineout.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,15 +16,20 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, folder: operator(table(spark, folder, name))
 
 
+def _labelled(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    return lambda spark, folder: operator(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def all_queries() -> dict[str, Query]:
     return {
         "op1_near_dedup": _over("documents", near_dedup.op1_near_dedup),
+        "op2_quality_classifier": _labelled(resampling.op2_quality_classifier),
         "op4_url_filter": _over("pages", urls.op4_url_filter),
-        "op6_quality_rules": lambda spark, folder: rules.op6_quality_rules(
-            table(spark, folder, "documents"), table(spark, folder, "labels")
-        ),
+        "op6_quality_rules": _labelled(rules.op6_quality_rules),
         "op7_chat_format": _over("conversations", chat.op7_chat_format),
+        "op8_toxicity": _labelled(toxicity.op8_toxicity),
         "op9_mix_sources": _over("documents", mixing.op9_mix_sources),
+        "op10_lm_scores": _labelled(lm_scores.op10_lm_scores),
     }
 
 

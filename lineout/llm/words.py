@@ -59,13 +59,17 @@ def _letter_codes(lower: bool) -> np.ndarray:
     return mixed(codes)
 
 
-def words(column: pa.Array, lower: bool = True) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each row; equal words have equal hashes."""
+# Bytes that belong to words: all but the six white-space bytes, and letters and digits only.
+SPACED = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+ALNUM = np.array([chr(b).isalnum() or b >= 128 for b in range(256)])
+
+
+def words(column: pa.Array, lower: bool = True, inside_of: np.ndarray = SPACED) -> Words:
+    """Words of each row, by default ``[^\\x20\\x09-\\x0D]+``; equal words have equal hashes."""
     data, offsets = text_bytes(column)
     size = len(data)
-    inside = np.ones(size + 1, bool)
-    inside[:size] = (data != 32) & ((data < 9) | (data > 13))
-    inside[size] = False
+    inside = np.zeros(size + 1, bool)
+    inside[:size] = inside_of[data]
     begins = inside[:size].copy()
     begins[1:] &= ~inside[: size - 1] if size else begins[1:]
     edges = offsets[:-1][offsets[:-1] < size]
