@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineout.llm import chat, lm_scores, mixing, near_dedup, resampling, rules, toxicity, urls
+from lineout.llm import chat, decontaminate, licenses, lm_scores, mixing, near_dedup, resampling, rules, toxicity, urls
 from lineout.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +24,11 @@ def all_queries() -> dict[str, Query]:
     return {
         "op1_near_dedup": _over("documents", near_dedup.op1_near_dedup),
         "op2_quality_classifier": _labelled(resampling.op2_quality_classifier),
+        "op3_decontaminate": lambda spark, folder: decontaminate.op3_decontaminate(
+            table(spark, folder, "documents"), table(spark, folder, "benchmark")
+        ),
         "op4_url_filter": _over("pages", urls.op4_url_filter),
+        "op5_license_scan": _over("documents", licenses.op5_license_scan),
         "op6_quality_rules": _labelled(rules.op6_quality_rules),
         "op7_chat_format": _over("conversations", chat.op7_chat_format),
         "op8_toxicity": _labelled(toxicity.op8_toxicity),
@@ -34,7 +38,7 @@ def all_queries() -> dict[str, Query]:
 
 
 def all_sql() -> dict[str, str]:
-    given = {"op4_url_filter": urls.OP4_SQL, "op6_quality_rules": rules.OP6_SQL, "op7_chat_format": chat.OP7_SQL, "op9_mix_sources": mixing.OP9_SQL}
+    given = {"op3_decontaminate": decontaminate.OP3_SQL, "op4_url_filter": urls.OP4_SQL, "op6_quality_rules": rules.OP6_SQL, "op7_chat_format": chat.OP7_SQL, "op9_mix_sources": mixing.OP9_SQL}
     names = {name: name for name in ("documents", "pages", "benchmark", "labels", "conversations")}
     out = {}
     for query, sql in given.items():
