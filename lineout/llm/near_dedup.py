@@ -119,13 +119,13 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def index_lists(sketches: DataFrame, reps: DataFrame) -> DataFrame:
-    """Inverted lists with at least two members: (value, node, n, hub, size).
+    """Inverted lists of retained values with at least two members: (value, node, n, at, kept, size).
 
     Any fixed order of values serves: a linked pair shares SHARED retained values
     (3/4 of the larger sketch if that is small), so it shares one of the first
     retained - SHARED + 1 of each side. Values that many documents retain come
     last, so a passage in many texts is indexed only by documents that hold little
-    else. ``hub`` is the smallest node of the list.
+    else. ``at`` is the value's place in the node's order of ``kept`` values.
     """
     spread = sketches.select("tag", F.explode("sketch").alias("value"))
     frequent = stored(spread.groupBy("value").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > FREQUENT))
@@ -137,43 +137,94 @@ def index_lists(sketches: DataFrame, reps: DataFrame) -> DataFrame:
     )
     kept = F.size("sketch")
     needed = F.least(F.lit(SHARED), F.ceil(kept * F.lit(PERCENT / 100)).cast("int"))
-    early = kept - F.coalesce(F.size("late"), F.lit(0))
     posted = nodes.select(
-        F.col("rep").alias("node"), F.col("n_shingles").alias("n"), early.alias("early"),
+        F.col("rep").alias("node"), F.col("n_shingles").alias("n"), kept.alias("kept"),
+        (kept - F.coalesce(F.size("late"), F.lit(0))).alias("early"),
         F.posexplode(F.slice(ordered, F.lit(1), kept - needed + 1)).alias("at", "value"),
     )
-    rare = posted.filter("at < early").select("value", "node", "n")
+    columns = ["value", "node", "n", "at", "kept"]
     in_list = W.partitionBy("value")  # at most FREQUENT rows
-    rare = rare.withColumns({"hub": F.min("node").over(in_list), "size": F.count(F.lit(1)).over(in_list)}).filter("size > 1")
-    common = posted.filter("at >= early").select("value", "node", "n")
-    heads = common.groupBy("value").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return stored(rare.unionByName(common.join(heads, "value").select(*rare.columns)))
+    rare = posted.filter("at < early").select(*columns).withColumn("size", F.count(F.lit(1)).over(in_list)).filter("size > 1")
+    common = posted.filter("at >= early").select(*columns)
+    sizes = common.groupBy("value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    common = common.join(sizes, "value").withColumn("size", F.greatest("size", F.lit(FREQUENT + 1)))
+    return stored(rare.unionByName(common))
 
 
-def _may_link(n: str, m: str) -> Column:
-    return (100 * F.least(n, m)) >= (PERCENT * F.greatest(n, m))
+def full_lists(sets: DataFrame) -> DataFrame:
+    """Inverted lists as above over whole sets, ordered by how many of the given sets hold a value."""
+    spread = sets.select("node", F.size("values").alias("n"), F.explode("values").alias("value"))
+    held = spread.groupBy("value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    order = W.partitionBy("node").orderBy("size", "value")
+    alone = F.col("n") - F.count(F.lit(1)).over(W.partitionBy("node"))
+    placed = spread.join(held, "value").withColumn("at", (alone + F.row_number().over(order) - 1).cast("int"))
+    wanted = placed.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(PERCENT / 100)))
+    return stored(wanted.select("value", "node", F.col("n").cast("long").alias("n"), "at", F.col("n").alias("kept"), "size"))
+
+
+def _may_link() -> Column:
+    """Whether the members (node, n, at, kept) and (b, n_b, at_b, kept_b) of a list can still be linked.
+
+    By size, and by how much the two can share if this value is the first they
+    share in the order; the list of their first shared value lets any link pass.
+    """
+    sizes = 100 * F.least("n", "n_b") >= PERCENT * F.greatest("n", "n_b")
+    whole = (F.col("kept") == F.col("n")) & (F.col("kept_b") == F.col("n_b"))
+    exact = F.ceil(PERCENT * (F.col("n") + F.col("n_b")) / F.lit(100.0 + PERCENT) - 1e-9)
+    rest = F.least(F.col("kept") - F.col("at"), F.col("kept_b") - F.col("at_b"))
+    return sizes & (rest >= F.when(whole, exact).otherwise(F.lit(SHARED)))
+
+
+def _renamed(lists: DataFrame, *more: str) -> DataFrame:
+    return lists.select("value", F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("n", "at", "kept", *more)])
+
+
+def _pairs(joined: DataFrame) -> DataFrame:
+    return joined.filter(_may_link()).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+
+
+def _hub_pairs(lists: DataFrame) -> DataFrame:
+    """Each member with its list's hub: the one with the fewest rarer values before, so the least edited."""
+    hub = F.min(F.struct((F.col("at") / F.col("kept")).alias("share"), "node", "n", "at", "kept")).alias("hub")
+    hubs = lists.groupBy("value").agg(hub).select("value", F.col("hub.node").alias("b"), *[F.col(f"hub.{c}").alias(f"{c}_b") for c in ("n", "at", "kept")])
+    return _pairs(lists.join(hubs, "value").filter("node <> b"))
+
+
+def _open_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """Lists that hold several components of the links so far, with each member's component."""
+    groups = connected_components(links)
+    placed = stored(lists.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    several = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    return placed.join(several.select("value"), "value", "left_semi")
+
+
+def _cross_pairs(lists: DataFrame) -> DataFrame:
+    """Pairs of list members in different components."""
+    return _pairs(lists.join(_renamed(lists, "component"), "value").filter("node < b AND component <> component_b"))
 
 
 def candidate_links(lists: DataFrame, docs: DataFrame) -> DataFrame:
     """All links that the components need: (a, b).
 
-    First each list member is compared with its list's hub, one row per member.
-    Then only lists that still hold several components are opened, and only pairs
-    across components are compared: groups of copies never expand into all pairs.
+    Members are first compared with their list's hub only, one row per member.
+    Where a list still holds several components, pairs across components follow;
+    a group of copies that the hub has joined is never expanded. Lists of frequent
+    values are replaced for that step: their members are indexed again by whole
+    sets, which admits only pairs that differ in few rare shingles.
     """
-    hubs = lists.join(
-        lists.filter("node = hub").select(F.col("value").alias("v"), F.col("n").alias("hub_n")), F.col("value") == F.col("v")
-    )
-    tried = stored(hubs.filter("node <> hub").filter(_may_link("n", "hub_n")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    tried = stored(_hub_pairs(lists))
     links = _verified(tried, docs)
-    grouped = connected_components(links)
-    placed = lists.join(grouped, "node", "left").select("value", "node", "n", F.coalesce("component", "node").alias("component"))
-    placed = stored(placed)
-    mixed_lists = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("value")
-    open_lists = placed.join(mixed_lists, "value", "left_semi")
-    other = open_lists.select("value", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "component")])
-    pairs = open_lists.join(other, "value").filter("node < node_b AND component <> component_b").filter(_may_link("n", "n_b"))
-    pairs = pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    still_open = stored(_open_lists(lists, links))
+    pairs = stored(_cross_pairs(still_open.filter(F.col("size") <= FREQUENT)).join(tried, ["a", "b"], "left_anti"))
+    links = stored(links.unionByName(_verified(pairs, docs)))
+    tried = tried.unionByName(pairs)
+
+    members = stored(still_open.filter(F.col("size") > FREQUENT).select("node").distinct())
+    whole = full_lists(_full_sets(docs, members))
+    pairs = stored(_hub_pairs(stored(_open_lists(whole, links)).select(*whole.columns)).join(tried, ["a", "b"], "left_anti"))
+    links = stored(links.unionByName(_verified(pairs, docs)))
+    tried = tried.unionByName(pairs)
+    pairs = _cross_pairs(stored(_open_lists(whole, links))).join(tried, ["a", "b"], "left_anti")
     return links.unionByName(_verified(pairs, docs))
 
 
