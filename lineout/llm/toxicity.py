@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineout.llm.common import fitting_ids, held_out
+from lineout.llm.common import fitting_ids, held_out, stored
 from lineout.llm.words import blocks, mixed, text_bytes
 
 ORDERS = (3, 4, 5)
@@ -43,7 +43,7 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarra
         if size <= 0:
             return
         code = (code[:size] << np.uint64(8)) | letters[n - 1 :]
-        if n in ORDERS:
+        if n in ORDERS:  # codes of up to five bytes are told apart in full
             inside = row[:size] == row[n - 1 :]
             hashed = (mixed(code + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int64)
             yield hashed[inside], row[:size][inside]
@@ -54,13 +54,37 @@ def _distinct(feature: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndar
     return key & ((1 << BITS) - 1), key >> BITS
 
 
-def _feature_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _row_features(batch: pa.RecordBatch, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (feature, row), of the wanted features only."""
+    found = list(_features(*text_bytes(batch.column("text"))))
+    if wanted is not None:
+        found = [(f[wanted[f]], r[wanted[f]]) for f, r in found]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return _distinct(np.concatenate([f for f, _ in found]), np.concatenate([r for _, r in found]))
+
+
+def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of each class in which a feature occurs: at most 2 ** BITS rows a task."""
+    seen = np.zeros((2, 1 << BITS), np.int64)
     for batch in blocks(batches):
-        found = list(_features(*text_bytes(batch.column("text"))))
-        feature, row = _distinct(np.concatenate([f for f, _ in found]), np.concatenate([r for _, r in found])) if found else (np.zeros(0, np.int64),) * 2
-        ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), lists], ["toxic", "features"])
+        feature, row = _row_features(batch)
+        toxic = batch.column("toxic").to_numpy(zero_copy_only=False)[row] == 1
+        for side in (0, 1):
+            seen[side] += np.bincount(feature[toxic == side], minlength=1 << BITS)
+    used = np.flatnonzero(seen.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[0, used]), pa.array(seen[1, used])], ["feature", "clean", "toxic"])
+
+
+def _feature_lists(wanted: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            feature, row = _row_features(batch, wanted)
+            ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+            found = pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), found], ["toxic", "features"])
+
+    return lists
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | None:
@@ -69,33 +93,33 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | Non
     Each feature's ratio is log of its smoothed document frequency among toxic
     over that among other documents. Logistic regression on the features so
     scaled, both classes weighing the same, gives one weight per feature; the bias
-    is then moved to the labelled share of toxic documents. None if a class has no rows.
+    is then moved to the labelled share of toxic documents. None if a class has no
+    rows. The driver gets 2 ** BITS counts, then the kept features of 2 * rows documents.
     """
     usable = labels.filter(~held_out(F.col("doc_id")))
     ids = [fitting_ids(usable, "toxic", value, rows).withColumn("toxic", F.lit(value)) for value in (0, 1)]
     sample = docs.select("doc_id", "text").join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")  # 2 * rows ids
-    lists = sample.select("toxic", "text").mapInArrow(_feature_lists, "toxic int, features array<int>").toArrow()
-    toxic = lists.column("toxic").to_numpy().astype(bool)
-    if not toxic.any() or toxic.all():
+    sample = stored(sample.select("toxic", "text"))
+    sizes = dict(sample.groupBy("toxic").count().collect())
+    if len(sizes) < 2:
         return None
-    parts = lists.column("features").combine_chunks()
-    feature, sizes = parts.flatten().to_numpy(), np.diff(parts.offsets.to_numpy())
-    row = np.repeat(np.arange(len(toxic)), sizes)
-    seen = [np.bincount(feature[toxic[row] == side], minlength=1 << BITS) for side in (False, True)]
-    rate = [(count + 1.0) / (side.sum() + 2.0) for count, side in zip(seen, (~toxic, toxic))]
+    counts = sample.mapInArrow(_feature_counts, "feature long, clean long, toxic long").groupBy("feature")
+    counts = counts.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(F.col("clean") + F.col("toxic") >= LEAST_SEEN).toArrow()
+    rate = [(counts.column(name).to_numpy() + 1.0) / (sizes[side] + 2.0) for side, name in enumerate(("clean", "toxic"))]
     ratio = np.log(rate[1] / rate[0])
-    strength = np.where(seen[0] + seen[1] >= LEAST_SEEN, np.abs(ratio), 0.0)
-    chosen = np.sort(np.argsort(-strength, kind="stable")[:FEATURES])
-    chosen = chosen[strength[chosen] > 0]
+    best = np.lexsort((counts.column("feature").to_numpy(), -np.abs(ratio)))[:FEATURES]
+    chosen, ratio = counts.column("feature").to_numpy()[best], ratio[best]
     place = np.full(1 << BITS, -1)
     place[chosen] = np.arange(len(chosen))
-    at = place[feature]
-    row, at = row[at >= 0], at[at >= 0]
-    weights, bias = _logistic(row, at, ratio[chosen], toxic)
-    counts = dict(usable.filter("toxic IN (0, 1)").groupBy("toxic").count().collect())
-    bias += np.log(counts[1] / counts[0])
+    lists = sample.mapInArrow(_feature_lists(place >= 0), "toxic int, features array<int>").toArrow()
+    toxic = lists.column("toxic").to_numpy() == 1
+    parts = lists.column("features").combine_chunks()
+    row = np.repeat(np.arange(len(toxic)), np.diff(parts.offsets.to_numpy()))
+    weights, bias = _logistic(row, place[parts.flatten().to_numpy()], ratio, toxic)
+    labelled = dict(usable.filter("toxic IN (0, 1)").groupBy("toxic").count().collect())
+    bias += np.log(labelled[1] / labelled[0])
     out = np.zeros(1 << BITS)
-    out[chosen] = weights * ratio[chosen]
+    out[chosen] = weights * ratio
     return Model(out, float(bias))
 
 
@@ -127,15 +151,10 @@ def _scorer(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         for batch in blocks(batches):
             margin = np.full(batch.num_rows, bias)
             if weights is not None:
-                used = weights != 0
-                found = [(f[used[f]], r[used[f]]) for f, r in _features(*text_bytes(batch.column("text")))]
-                if found:
-                    feature, row = _distinct(np.concatenate([f for f, _ in found]), np.concatenate([r for _, r in found]))
-                    margin += np.bincount(row, weights[feature], minlength=batch.num_rows)
+                feature, row = _row_features(batch, weights != 0)
+                margin += np.bincount(row, weights[feature], minlength=batch.num_rows)
             chance = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
-            others = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "text"]
-            names = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*others, pa.array(chance)], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(chance)], ["doc_id", "score"])
 
     return score
 
