@@ -69,3 +69,9 @@ def fitting_ids(labels: DataFrame, label: str, value: int, rows: int) -> DataFra
     """At most ``rows`` labelled ids, the first by hash: (doc_id). Small by that bound."""
     ids = labels.filter(F.col(label) == value).select("doc_id").dropna().distinct()
     return ids.orderBy(F.xxhash64(F.lit("fit"), "doc_id"), "doc_id").limit(rows)
+
+
+def rows_of(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of ``docs`` whose id is (or, with ``left_anti``, is not) in ``ids`` (doc_id); null is an id too."""
+    wanted = ids.select(F.col("doc_id").alias("_wanted")).distinct()
+    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_wanted"]), how)

@@ -144,21 +144,33 @@ def _logistic(row: np.ndarray, at: np.ndarray, scale: np.ndarray, toxic: np.ndar
     return w / norm, bias
 
 
-def _scorer(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    weights, bias = (model.weights, model.bias) if model else (None, 0.0)
+def _chances(batch: pa.RecordBatch, model: Model | None) -> np.ndarray:
+    margin = np.full(batch.num_rows, model.bias if model else 0.0)
+    if model:
+        feature, row = _row_features(batch, model.weights != 0)
+        margin += np.bincount(row, model.weights[feature], minlength=batch.num_rows)
+    return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
+
 
+def _scorer(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            margin = np.full(batch.num_rows, bias)
-            if weights is not None:
-                feature, row = _row_features(batch, weights != 0)
-                margin += np.bincount(row, weights[feature], minlength=batch.num_rows)
-            chance = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(chance)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_chances(batch, model))], ["doc_id", "score"])
 
     return score
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose score is below ``threshold``."""
+    model = fit(docs, labels, rows)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            yield batch.filter(pa.array(_chances(batch, model) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
