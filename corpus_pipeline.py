@@ -41,8 +41,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the mix takes, with ``taken`` words per document (repeats counted) and its source's ``target``."""
     mixed = mix(docs).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).filter("taken > 0")
-    mixed = mixed.withColumnRenamed("doc_id", "_id")
-    return docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["_id"])).drop("_id")
+    mixed, others = mixed.withColumnRenamed("doc_id", "_id"), docs.drop("taken", "target")
+    return others.join(mixed, others["doc_id"].eqNullSafe(mixed["_id"])).drop(mixed["_id"])
 
 
 STAGES = [
