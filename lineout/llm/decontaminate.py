@@ -125,7 +125,7 @@ doc_grams AS (SELECT r, k, n, i - 1 AS pos, array_to_string(w[i:i + k - 1], ' ')
 starts AS (SELECT DISTINCT r, k, m, least(pos, greatest(n - m, 0)) AS s, least(n, m) AS n FROM doc_grams JOIN (SELECT DISTINCT k, m, g FROM item_grams) USING (k, g)),
 windows AS (SELECT s.r, s.k, s.m, s.s, s.n, g, count(*) AS c FROM starts s JOIN doc_grams d ON s.r = d.r AND s.k = d.k AND d.pos >= s.s AND d.pos < s.s + s.m GROUP BY ALL),
 counted AS (SELECT item_id, k, m, g, count(*) AS c FROM item_grams GROUP BY ALL),
-shared AS (SELECT r, s, item_id, w.m, w.n, sum(least(w.c, i.c)) AS both FROM windows w JOIN counted i USING (k, m, g) GROUP BY ALL),
-scored AS (SELECT doc_id, item_id, both::DOUBLE / (n + m - both)::DOUBLE AS similarity FROM shared JOIN low USING (r))
+shared AS (SELECT r, s, item_id, w.m, w.n, sum(least(w.c, i.c)) AS common FROM windows w JOIN counted i USING (k, m, g) GROUP BY ALL),
+scored AS (SELECT doc_id, item_id, common::DOUBLE / (n + m - common)::DOUBLE AS similarity FROM shared JOIN low USING (r))
 SELECT doc_id, item_id, max(similarity) AS similarity FROM scored WHERE similarity >= 0.75 GROUP BY doc_id, item_id
 """

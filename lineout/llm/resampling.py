@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lineout.llm.common import fitting_ids, stored
+from lineout.llm.common import fitting_ids, map_arrow, stored
 from lineout.llm.words import blocks, mixed, words
 
 BUCKETS = 1 << 16  # hashed unigrams and bigrams
@@ -41,7 +41,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def bucket_chances(docs: DataFrame) -> np.ndarray:
     """Smoothed chance of each bucket over all texts of ``docs``; ``BUCKETS`` numbers reach the driver."""
-    counted = docs.select("text").mapInArrow(_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counted = map_arrow(docs.select("text"), _counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     total = np.full(BUCKETS, SMOOTHING)
     found = counted.toArrow()
     total[found.column("bucket").to_numpy()] += found.column("n").to_numpy()
@@ -55,7 +55,7 @@ def _weigher(log_ratio: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iter
             weight = np.bincount(row, log_ratio[bucket], minlength=batch.num_rows)
             features = np.bincount(row, minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(features.astype(np.int64)), pa.array(weight)], ["doc_id", "n_features", "log_weight"]
+                [batch.column("doc_id"), pa.array(features.astype(np.int64)), pa.array(weight.astype(np.float64))], ["doc_id", "n_features", "log_weight"]
             )
 
     return weigh
@@ -72,7 +72,7 @@ def importance_weights(docs: DataFrame, labels: DataFrame, rows: int = TARGET_RO
     raw = bucket_chances(docs)
     target = bucket_chances(docs.join(F.broadcast(ids), "doc_id", "left_semi"))  # at most ``rows`` ids
     ratio = np.log(target / raw) if ids.head(1) else np.zeros(BUCKETS)
-    return docs.select("doc_id", "text").mapInArrow(_weigher(ratio), "doc_id long, n_features long, log_weight double")
+    return map_arrow(docs.select("doc_id", "text"), _weigher(ratio), "doc_id long, n_features long, log_weight double")
 
 
 def gumbel_top_k(weighed: DataFrame, share: float, seed: str = "gumbel") -> DataFrame:
@@ -91,7 +91,7 @@ def gumbel_top_k(weighed: DataFrame, share: float, seed: str = "gumbel") -> Data
     ranged = keyed.withColumn("range", F.lit(0))
     if edges:
         schema = T.StructType([*keyed.schema.fields, T.StructField("range", T.IntegerType())])
-        ranged = keyed.mapInArrow(_ranger(np.array(edges)), schema)
+        ranged = map_arrow(keyed, _ranger(np.array(edges)), schema)
     counts = ranged.groupBy("range").count().orderBy(F.desc("range")).collect()  # at most RANGES rows
     left = int(round(share * sum(r["count"] for r in counts)))
     cut, part = -1, 0
