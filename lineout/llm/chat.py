@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineout.llm.common import map_arrow
 from lineout.llm.words import text_bytes
 
 # The template: one turn is "### role: text</turn>\n". In texts and roles a
@@ -141,7 +142,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     whose formatted text is one value of the result in any case.
     """
     parted = turns.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return parted.mapInArrow(_assembled, FORMATTED)
+    return map_arrow(parted, _assembled, FORMATTED)
 
 
 def read_back(formatted: str) -> list[tuple[str, str]]:
@@ -189,7 +190,7 @@ def op7_chat_format(conversations: DataFrame) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"),
     )
     turns = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    return format_conversations(turns.unionByName(probe)).mapInArrow(_digests, DIGESTS)
+    return map_arrow(format_conversations(turns.unionByName(probe)), _digests, DIGESTS)
 
 
 OP7_SQL = r"""

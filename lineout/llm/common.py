@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]"
+BATCH_ROWS = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -44,6 +47,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, fn: Callable, schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` in batches of at most ``BATCH_ROWS`` rows: whole texts are long, and workers and
+    executors hold a batch several times. The session keeps a smaller setting of its own."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf.set(name, min(BATCH_ROWS, int(conf.get(name)) or BATCH_ROWS))
+    return df.mapInArrow(fn, schema)
+
+
 def clear_stored(spark: SparkSession) -> None:
     """Delete what ``stored`` has written in this session."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))

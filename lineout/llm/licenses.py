@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lineout.llm.common import map_arrow
 from lineout.llm.words import ALNUM, Words, blocks, shingles, text_bytes, words
 
 # Published license notices and grants: fixed values, any mapping can be passed instead.
@@ -165,7 +166,7 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, cov
     times. Null and empty texts match nothing; a null id is returned as null.
     Documents are scanned one by one where they lie: nothing is shuffled.
     """
-    return docs.select("doc_id", "text").mapInArrow(_scanner(dict(templates), coverage), FOUND)
+    return map_arrow(docs.select("doc_id", "text"), _scanner(dict(templates), coverage), FOUND)
 
 
 def op5_license_scan(docs: DataFrame) -> DataFrame:

@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineout.llm.common import map_arrow
 from lineout.llm.words import blocks, mixed, words
 
-BYTES_PER_CELL = 400  # the models grow with the corpus: one pair of context and word per so many bytes of text
-LEAST_BITS, MOST_BITS = 12, 21  # but stay small enough to send to every task
+BITS = 20  # pairs of context and word, the same at every size; the models stay small enough to send to every task
 CONTEXT_BITS = 7  # words before are told apart by so many bits of their hash
 BACKOFF = 2.0  # weight of the unigram chance in a bigram estimate
 EMIT_ROWS = 200_000
@@ -55,21 +55,15 @@ def _counter(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return count
 
 
-def vocabulary_bits(docs: DataFrame) -> int:
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return int(np.clip(np.ceil(np.log2(max(1, size / BYTES_PER_CELL))), LEAST_BITS, MOST_BITS))
-
-
-def count_models(docs: DataFrame, labels: DataFrame) -> Models:
+def count_models(docs: DataFrame, labels: DataFrame, bits: int = BITS) -> Models:
     """Pair counts of all documents and of all those labelled quality 1.
 
     Tasks count their share before anything is shuffled; the sums, at most
-    ``2 ** MOST_BITS`` rows, come to the driver.
+    ``2 ** bits`` rows, come to the driver.
     """
-    bits = vocabulary_bits(docs)
     wanted = labels.filter("quality = 1").select("doc_id").dropna().distinct().withColumn("target", F.lit(True))
-    marked = docs.select("doc_id", "text").join(wanted, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    counted = marked.mapInArrow(_counter(bits), "cell int, n int, n_target int").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    marked = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    counted = map_arrow(marked, _counter(bits), "cell int, n int, n_target int").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
     counts = np.zeros((2, 1 << bits), np.float32)
     found = counted.select("cell", F.col("n").cast("float"), F.col("n_target").cast("float")).toArrow()
     for batch in found.to_batches():
@@ -104,19 +98,19 @@ def _scorer(models: Models) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return score
 
 
-def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, bits: int = BITS) -> DataFrame:
     """One row per document: doc_id, n_words, mean loss per word under both models, and their difference.
 
     The target model is learned from all documents labelled quality 1, the
     background from all documents. Both are bigram models, backed off to words,
-    over one vocabulary of hashed words; it grows with the corpus until the pairs
-    fill ``2 ** MOST_BITS`` cells. The lower ``loss_difference``, the more a text is
+    over one vocabulary of hashed words. All texts are counted, each task's counts
+    are gathered, and the pairs fill ``2 ** bits`` cells. The lower ``loss_difference``, the more a text is
     like the target. Null and empty texts have no words and all values 0. Rows are
     scored one by one, so repeated rows give repeated results; an empty table
     gives none. Without a labelled row the target model is uniform.
     """
     schema = "doc_id long, n_words long, target_loss double, background_loss double, loss_difference double"
-    return docs.select("doc_id", "text").mapInArrow(_scorer(count_models(docs, labels)), schema)
+    return map_arrow(docs.select("doc_id", "text"), _scorer(count_models(docs, labels, bits)), schema)
 
 
 def op10_lm_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lineout.llm.common import stored
+from lineout.llm.common import map_arrow, stored
 from lineout.llm.components import connected_components
 from lineout.llm.words import blocks, mixed, shingles, words
 
@@ -76,13 +76,13 @@ def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     A bit map of fixed size first leaves out most other documents without moving
     a text; the join that follows is exact.
     """
-    marks = nodes.select(F.col("node").alias("id")).mapInArrow(_marks, "word long, bits long")
+    marks = map_arrow(nodes.select(F.col("node").alias("id")), _marks, "word long, bits long")
     marks = marks.groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()  # at most FILTER_BITS / 64 rows
     bitmap = np.zeros(FILTER_BITS // 64, np.int64)
     for row in marks:
         bitmap[row.word] = row.bits
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    found = found.mapInArrow(_set_reader(bitmap.view(np.uint8)), "node long, values array<long>")
+    found = map_arrow(found, _set_reader(bitmap.view(np.uint8)), "node long, values array<long>")
     return stored(found.join(nodes, "node", "left_semi"))
 
 
@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     alone: component_id null, kept. Rows that share an id are one document, linked
     with whatever any of them is linked with. An empty table gives no rows.
     """
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketched, SKETCH)
+    read = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _sketched, SKETCH)
     sketches = stored(read.withColumn("tag", F.monotonically_increasing_id()))
     usable = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     key = ["n_shingles", "d1", "d2"]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineout.llm.common import fitting_ids, held_out, stored
+from lineout.llm.common import fitting_ids, held_out, map_arrow, stored
 from lineout.llm.words import blocks, mixed, text_bytes
 
 ORDERS = (3, 4, 5)
@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | Non
     sizes = dict(sample.groupBy("toxic").count().collect())
     if len(sizes) < 2:
         return None
-    counts = sample.mapInArrow(_feature_counts, "feature long, clean long, toxic long").groupBy("feature")
+    counts = map_arrow(sample, _feature_counts, "feature long, clean long, toxic long").groupBy("feature")
     counts = counts.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(F.col("clean") + F.col("toxic") >= LEAST_SEEN).toArrow()
     rate = [(counts.column(name).to_numpy() + 1.0) / (sizes[side] + 2.0) for side, name in enumerate(("clean", "toxic"))]
     ratio = np.log(rate[1] / rate[0])
@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | Non
     chosen, ratio = counts.column("feature").to_numpy()[best], ratio[best]
     place = np.full(1 << BITS, -1)
     place[chosen] = np.arange(len(chosen))
-    lists = sample.mapInArrow(_feature_lists(place >= 0), "toxic int, features array<int>").toArrow()
+    lists = map_arrow(sample, _feature_lists(place >= 0), "toxic int, features array<int>").toArrow()
     toxic = lists.column("toxic").to_numpy() == 1
     parts = lists.column("features").combine_chunks()
     row = np.repeat(np.arange(len(toxic)), np.diff(parts.offsets.to_numpy()))
@@ -168,7 +168,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows:
         for batch in blocks(batches):
             yield batch.filter(pa.array(_chances(batch, model) < threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_arrow(docs, keep, docs.schema)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
@@ -180,7 +180,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) ->
     ids give repeated rows; an empty table gives none. A null id is not held out.
     """
     model = fit(docs, labels, rows)
-    scored = docs.select("doc_id", "text").mapInArrow(_scorer(model), "doc_id long, score double")
+    scored = map_arrow(docs.select("doc_id", "text"), _scorer(model), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
