@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from lineout import schema as S
 
-MAX_ZONES = 10_000
+CELL = 0.5  # feet: zones are looked up by the square cell a pitch lies in
+CELLS = 64  # cells to either side; what lies further out shares the outermost
 
 
 def lookup_join(df: DataFrame, lookup: DataFrame, key: str, salts: int = 1) -> DataFrame:
@@ -92,22 +93,30 @@ def zone_code(
     zones: DataFrame,
     height: str | None = None,
     reference_height: float = 72.0,
-    max_zones: int = MAX_ZONES,
+    cell: float = CELL,
 ) -> DataFrame:
     """Label each pitch with the first zone of the batter's side that holds it.
 
-    ``zones`` has columns stand, x_lo, x_hi, z_lo, z_hi, label. Its rows are
-    folded into one list per side, so the join adds exactly one row per side and
-    never multiplies pitches. The zone table is counted before it is broadcast
-    and refused above ``max_zones``. With ``height`` the vertical edges are
-    scaled by the batter's height. Overlaps resolve to the zone that sorts first
-    by an ``ord`` column if there is one, else by label and edges.
+    ``zones`` has columns stand, x_lo, x_hi, z_lo, z_hi, label. A zone is listed
+    under every cell it touches, one list per side and cell, so pitches meet the
+    few zones of their own cell by an equi-join that never multiplies them. With
+    ``height`` the vertical edges are scaled by the batter's height. Overlaps
+    resolve to the zone that sorts first by an ``ord`` column if there is one,
+    else by label and edges.
     """
-    if zones.limit(max_zones + 1).count() > max_zones:
-        raise ValueError(f"zone table has more than {max_zones} rows; split it by side or season")
     order = ["ord"] if "ord" in zones.columns else []
     entry = F.struct(*order, "label", "x_lo", "x_hi", "z_lo", "z_hi")
-    lists = zones.groupBy("stand").agg(F.sort_array(F.collect_list(entry)).alias("_zones"))
+
+    def place(value: Column) -> Column:
+        return F.greatest(F.lit(-CELLS), F.least(F.lit(CELLS), F.floor(value / cell))).cast("int")
+
+    def touched(low: str, high: str) -> Column:
+        # One cell more on either side, for edges that scaling moves by a rounding error.
+        first, last = place(F.col(low)) - 1, place(F.col(high)) + 1
+        return F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array()))
+
+    cells = zones.withColumn("_cx", touched("x_lo", "x_hi")).withColumn("_cz", touched("z_lo", "z_hi"))
+    lists = cells.groupBy("stand", "_cx", "_cz").agg(F.sort_array(F.collect_list(entry)).alias("_zones"))
     scale = F.lit(1.0) if height is None else F.col(height) / reference_height
     x, z = F.col("px"), F.col("pz")
 
@@ -116,9 +125,9 @@ def zone_code(
 
     first = F.try_element_at(F.filter(F.col("_zones"), holds), F.lit(1))["label"]
     return (
-        df.join(F.broadcast(lists), "stand", "left")
+        df.withColumns({"_cx": place(x), "_cz": place(z / scale)}).join(lists, ["stand", "_cx", "_cz"], "left")
         .withColumn("location", F.coalesce(first, F.lit(S.OUT_OF_ZONE)))
-        .drop("_zones")
+        .select(*df.columns, "location")
     )
 
 

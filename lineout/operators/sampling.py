@@ -23,7 +23,6 @@ from lineout import schema as S
 from lineout.operators.joins import null_safe_join
 
 PREFIX_LENGTH = 4  # hex digits: 65 536 buckets
-MAX_BROADCAST_GROUPS = 50_000  # one short row each
 _HASH, _PREFIX = "_hash", "_prefix"
 
 
@@ -103,14 +102,11 @@ def exact_sample(
 
 def stratified_sample(
     df: DataFrame, by: Sequence[str] | str, share: float, key: str = "row_key", seed: int = S.SEED,
-    max_broadcast_groups: int = MAX_BROADCAST_GROUPS,
 ) -> DataFrame:
     """Sample ``round(share * n)`` rows within each group.
 
-    The groups are counted first. Up to ``max_broadcast_groups`` of them, each
-    row is compared with its group's cut hash where it lies. Beyond that, rows
-    meet the cut through (group, hash prefix), a key that stays evenly spread
-    however few or uneven the groups are.
+    Rows meet their group's cut through (group, hash prefix), a key that stays
+    evenly spread however few or uneven the groups are.
     """
     by = [by] if isinstance(by, str) else list(by)
     hashed = _hashed(df, key, seed)
@@ -121,12 +117,8 @@ def stratified_sample(
     edges = buckets.filter((F.col("_need") > 0) & (F.col("_need") <= F.col("_n"))).select(*keys, "_need")
     limits = _hash_at_rank(slim, edges, by).select(*keys, "_limit")  # one row per group
     inside = F.col(_HASH) <= F.col("_limit")
-    groups = df.select(*by).distinct().limit(max_broadcast_groups + 1).count()
-    if groups <= max_broadcast_groups:
-        kept = null_safe_join(hashed, F.broadcast(limits.drop(_PREFIX)), by, "left_semi", inside)
-    else:
-        whole = buckets.filter(F.col("_need") > F.col("_n")).select(*keys, F.lit("g").alias("_limit"))
-        kept = null_safe_join(hashed, whole.unionByName(limits), keys, "left_semi", inside)
+    whole = buckets.filter(F.col("_need") > F.col("_n")).select(*keys, F.lit("g").alias("_limit"))
+    kept = null_safe_join(hashed, whole.unionByName(limits), keys, "left_semi", inside)
     return kept.drop(_HASH, _PREFIX)
 
 

@@ -16,8 +16,6 @@ from lineout.operators import distributions as P
 from lineout.operators.joins import null_safe_join
 from lineout.operators.running import running_totals
 
-MAX_CELLS = 5_000
-
 
 def linear_fit(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFrame:
     """Least-squares line over complete rows, unweighted.
@@ -79,52 +77,75 @@ def main_effect(df: DataFrame, y: str, factor: str) -> DataFrame:
     )
 
 
-def _bounded(cells: DataFrame, limit: int):
-    rows = cells.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} factor combinations: not categories")
-    return rows
-
-
 def _dummies(values: list) -> np.ndarray:
     levels = sorted(set(values), key=str)
     return np.array([[v == level for level in levels] for v in values], dtype=float)
 
 
-def _fitted_ss(design: np.ndarray, n: np.ndarray, mean: np.ndarray) -> tuple[float, int]:
-    """Weighted explained sum of squares and rank of nested cell designs."""
-    root = np.sqrt(n)
-    basis, singular, _ = np.linalg.svd(design * root[:, None], full_matrices=False)
-    rank = int((singular > singular.max() * 1e-10).sum())
-    part = basis[:, :rank].T @ (root * mean)
-    return float(part @ part), rank
+def _additional_ss(cells: DataFrame, small: str, large: str) -> tuple[float, int]:
+    """Explained sum of squares, and its degrees of freedom, of ``small`` after ``large``.
 
-
-def anova_two_way(df: DataFrame, y: str, a: str, b: str, max_cells: int = MAX_CELLS) -> DataFrame:
+    ``cells`` has n and t, the cell's centred total. The levels of ``large`` are
+    eliminated one by one where the rows are; what is solved here has one row and
+    column per level of ``small``.
+    """
+    level = F.col(small).alias("level")
+    by_large = cells.groupBy(large).agg(
+        F.sum("n").alias("n_all"), F.sum("t").alias("t_all"), F.collect_list(F.struct(level, "n", "t")).alias("row"),
+    )
+    each = by_large.select("*", F.explode("row").alias("x"))
+    right = each.groupBy("x.level").agg(
+        F.sum(F.col("x.t") - F.col("x.n") * F.col("t_all") / F.col("n_all")).alias("r"), F.sum("x.n").alias("n"),
+    ).collect()
+    left = each.select("x", "n_all", F.explode("row").alias("z")).groupBy(F.col("x.level").alias("i"), F.col("z.level").alias("j"))
+    left = left.agg(F.sum(F.col("x.n") * F.col("z.n") / F.col("n_all")).alias("m")).collect()
+    place = {row["level"]: i for i, row in enumerate(right)}
+    matrix = np.diag([float(row["n"]) for row in right])
+    for row in left:
+        matrix[place[row["i"]], place[row["j"]]] -= row["m"]
+    values, vectors = np.linalg.eigh(matrix)
+    kept = values > max(values.max(), 0.0) * 1e-10
+    part = vectors[:, kept].T @ np.array([row["r"] for row in right])
+    return float((part * part / values[kept]).sum()), int(kept.sum())
+
+
+def anova_two_way(df: DataFrame, y: str, a: str, b: str) -> DataFrame:
     """Two factors with interaction, sequential sums of squares.
 
     Rows (term, df, sum_sq, mean_sq, f, p). Empty cells lower the interaction's
-    degrees of freedom. One aggregation reads the table.
+    degrees of freedom. The factor with more levels is eliminated by aggregation,
+    so it may have any number; the driver solves for the other one's levels.
     """
-    rows = _bounded(cell_moments(df, y, [a, b]), max_cells)
-    n = np.array([r["n"] for r in rows], dtype=float)
-    mean = np.array([r["mean"] for r in rows], dtype=float)
-    if len(rows):
-        mean = mean - (n @ mean) / n.sum()  # centred: keeps the differences of squares accurate
-    one = np.ones((len(rows), 1))
-    first, second = _dummies([r[a] for r in rows]), _dummies([r[b] for r in rows])
-    steps = [one, np.hstack([one, first]), np.hstack([one, first, second]), np.eye(len(rows))]
-    fitted = [_fitted_ss(m, n, mean) for m in steps] if len(rows) else []
-    residual_df = int(n.sum()) - len(rows)
-    residual = float(sum(r["within"] for r in rows))
+    cells = cell_moments(df, y, [a, b])
+    grand = cells.agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("g")).scalar()
+    cells = cells.withColumn("t", F.col("n") * (F.col("mean") - grand)).persist()
+    whole = cells.agg(
+        F.countDistinct(a).alias("a"), F.countDistinct(b).alias("b"), F.count(F.lit(1)).alias("cells"), F.sum("n").alias("n"),
+        F.sum("within").alias("within"), F.sum(F.col("t") * F.col("t") / F.col("n")).alias("full"),
+    ).first()
+
+    def alone(factor: str) -> float:
+        totals = cells.groupBy(factor).agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+        return totals.agg(F.sum(F.col("t") * F.col("t") / F.col("n"))).first()[0]
+
+    table, residual_df, residual = [], (whole["n"] or 0) - whole["cells"], whole["within"] or 0.0
     noise = residual / residual_df if residual_df > 0 else None
-    table = []
-    for term, (ss0, rank0), (ss1, rank1) in zip((a, b, f"{a}:{b}"), fitted, fitted[1:]):
-        dof, ss = rank1 - rank0, ss1 - ss0
-        ms = ss / dof if dof else None
-        f = ms / noise if ms is not None and noise else None
-        table.append((term, dof, ss, ms, f, P.f_upper(f, dof, residual_df) if f is not None else None))
-    table.append(("Residuals", residual_df, residual, noise, None, None))
+    if whole["cells"]:
+        first = alone(a)
+        if whole["b"] <= whole["a"]:
+            second, second_df = _additional_ss(cells, b, a)
+        else:
+            swapped, swapped_df = _additional_ss(cells, a, b)
+            second, second_df = alone(b) + swapped - first, whole["b"] - 1 + swapped_df - (whole["a"] - 1)
+        rest_df = whole["cells"] - 1 - (whole["a"] - 1) - second_df
+        for term, dof, ss in (
+            (a, whole["a"] - 1, first), (b, second_df, second), (f"{a}:{b}", rest_df, whole["full"] - first - second),
+        ):
+            ms = ss / dof if dof else None
+            f = ms / noise if ms is not None and noise else None
+            table.append((term, dof, float(ss), ms, f, P.f_upper(f, dof, residual_df) if f is not None else None))
+    cells.unpersist()
+    table.append(("Residuals", residual_df, float(residual), noise, None, None))
     return df.sparkSession.createDataFrame(
         table, "term string, df long, sum_sq double, mean_sq double, f double, p double",
     )
@@ -133,13 +154,10 @@ def anova_two_way(df: DataFrame, y: str, a: str, b: str, max_cells: int = MAX_CE
 def mean_differences(means: DataFrame, level: str) -> DataFrame:
     """Difference of means for each pair of levels, from a table of level means.
 
-    The pairs come from one sorted list of levels, never from data rows; more
-    than ``MAX_CELLS`` levels are refused.
+    The pairs come from one sorted list of levels, never from data rows.
     """
-    levels = means.select(F.col(level).alias("level"), "n", "mean").limit(MAX_CELLS + 1)
+    levels = means.select(F.col(level).alias("level"), "n", "mean")
     listed = levels.agg(F.sort_array(F.collect_list(F.struct("level", "n", "mean"))).alias("all"))
-    failure = F.raise_error(F.lit(f"more than {MAX_CELLS} levels: not a category"))
-    listed = listed.select(F.when(F.size("all") > MAX_CELLS, failure).otherwise(F.col("all")).alias("all"))
     return listed.select(F.posexplode("all").alias("i", "lo"), "all").select(
         "lo", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("hi"),
     ).select(
@@ -178,7 +196,7 @@ def _adjusted_means(rows, y_mean: float, a: str, b: str) -> list[tuple]:
 
 
 def tukey_pairs(
-    df: DataFrame, y: str, a: str, b: str, level: float = 0.95, max_cells: int = 200,
+    df: DataFrame, y: str, a: str, b: str, level: float = 0.95,
 ) -> DataFrame:
     """Honest significant differences of a two-way model with interaction.
 
@@ -186,7 +204,7 @@ def tukey_pairs(
     interaction compares cell means. Each pair gets a Tukey-Kramer interval and
     an adjusted p-value.
     """
-    rows = _bounded(cell_moments(df, y, [a, b]), max_cells)
+    rows = cell_moments(df, y, [a, b]).collect()  # a row per cell, as each pair of cells is a row of the result
     n = sum(r["n"] for r in rows)
     grand = sum(r["n"] * r["mean"] for r in rows) / n
     dof = n - len(rows)

@@ -43,6 +43,7 @@ def fit(
     prepared: DataFrame, numeric: Sequence[str] = NUMERIC, categorical: Sequence[str] = CATEGORICAL, **options,
 ) -> PipelineModel:
     """Fit scaler, indexers and forest on the training rows alone."""
+    options.setdefault("mtry", models.MTRY.get((tuple(numeric), tuple(categorical))))
     pipeline = models.forest(numeric, categorical, **options)
     return pipeline.fit(prepared.filter(F.col("split") == "train").select("hit", *numeric, *categorical))
 

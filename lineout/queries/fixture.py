@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from lineout import schema as S
 from lineout.functions import labels as L
 from lineout.operators import clean, sampling
-from lineout.sources.read import spread
 from lineout.sources.write import materialise
 
 SOURCES = ("lineitem", "orders", "supplier", "nation", "customer")
@@ -112,7 +111,6 @@ def stored_balls(spark: SparkSession, folder: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _STORED:
         frames = {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in SOURCES}
-        frames["lineitem"] = spread(frames["lineitem"])
         _STORED[key] = materialise(spark.sql(PROJECTION, **frames))
     return _STORED[key]
 

@@ -96,9 +96,9 @@ def _(t):
     return joins.append(left, right)
 
 
-@query("o1_sort_descending", "SELECT row_key, hit FROM clean ORDER BY hit DESC NULLS LAST")
+@query("o1_sort_descending", "SELECT row_key, hit FROM clean ORDER BY hit DESC NULLS LAST, row_key")
 def _(t):
-    return t.clean.select("row_key", "hit").orderBy(F.desc_nulls_last("hit"))
+    return t.clean.select("row_key", "hit").orderBy(F.desc_nulls_last("hit"), "row_key")  # the second key lets a sort spread two values
 
 
 @query("o2_sort_by_bin", f"""

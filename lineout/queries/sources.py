@@ -19,9 +19,9 @@ def _(t):
     return read.season_batters(t.balls, SEASON)
 
 
-@query("s3_balls_in_play", "SELECT batter, row_key, type, hit_speed FROM balls WHERE type = 'X'")
+@query("s3_balls_in_play", "SELECT batter, row_key, type, hit_speed FROM balls WHERE type = 'X' ORDER BY batter")
 def _(t):
-    return read.balls_in_play(t.balls).select("batter", "row_key", "type", "hit_speed")
+    return read.balls_in_play(t.balls, ordered=True).select("batter", "row_key", "type", "hit_speed")
 
 
 @query("s4_latest_per_key", """

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,16 +29,13 @@ def read_extracts(spark: SparkSession, path: str | list[str], keep_corrupt: bool
 
 
 def read_database(
-    spark: SparkSession, url: str, query: str, partition: tuple[str, int, int, int] | None = None, **options: str,
+    spark: SparkSession, url: str, query: str, partition: tuple[str, int, int, int], **options: str,
 ) -> DataFrame:
-    """Result of a query on a remote database.
+    """Result of a query on a remote database, read in parts.
 
-    ``partition`` is (column, low, high, parts): without it one task reads all
-    rows, so give it for anything large.
+    ``partition`` is (column, low, high, parts): that many tasks each read a range.
     """
     reader = spark.read.format("jdbc").option("url", url).options(**options)
-    if partition is None:
-        return reader.option("query", query).load()
     column, low, high, parts = partition
     return (
         reader.option("dbtable", f"({query}) q").option("partitionColumn", column)
@@ -44,25 +43,21 @@ def read_database(
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition a scan that comes in fewer pieces than there are cores.
-
-    Large tables come in more pieces than that and pass through unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def first_day(season: int) -> Column:
+    """A season's first day, to compare dates with where the scan can use it."""
+    return F.lit(datetime.date(season, 1, 1))
 
 
 def season_batters(pitches: DataFrame, season: int) -> DataFrame:
     """Batters with a ball in play in a season, with the season attached."""
     return (
-        pitches.filter((F.year("game_date") == season) & F.col("des2").ilike("in play%"))
+        pitches.filter((F.col("game_date") >= first_day(season)) & (F.col("game_date") < first_day(season + 1)) & F.col("des2").ilike("in play%"))
         .select("batter").distinct().withColumn("year", F.lit(season))
     )
 
 
 def balls_in_play(pitches: DataFrame, ordered: bool = False) -> DataFrame:
-    """Pitches put in play. Order them only when writing a file for reading."""
+    """Pitches put in play. Order them, by batter and row, only when writing a file for reading."""
     hits = pitches.filter(F.col("type") == "X")
     return hits.orderBy("batter") if ordered else hits
 
@@ -70,5 +65,5 @@ def balls_in_play(pitches: DataFrame, ordered: bool = False) -> DataFrame:
 def latest_per_key(df: DataFrame, key: str, value: str, order: str, after_season: int | None = None) -> DataFrame:
     """One value per key: that of the latest row, the largest value on a tie."""
     if after_season is not None:
-        df = df.filter(F.year(order) > after_season)
+        df = df.filter(F.col(order) >= first_day(after_season + 1))
     return df.groupBy(key).agg(F.max_by(value, F.struct(order, value)).alias(value))

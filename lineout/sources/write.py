@@ -26,13 +26,16 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> D
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a local one only if unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _scratch_folder()).rstrip("/")
+    """The folder the cluster names for checkpoints; on one machine a temporary one if it names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (folder or _scratch_folder().name).rstrip("/")
 
 
 @cache
-def _scratch_folder() -> str:
-    return tempfile.mkdtemp(prefix="lineout-")
+def _scratch_folder() -> tempfile.TemporaryDirectory:
+    return tempfile.TemporaryDirectory(prefix="lineout-", ignore_cleanup_errors=True)  # removed at exit
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -136,5 +136,12 @@ def test_zone_code_keeps_one_row_per_pitch_and_scales_by_height(spark):
     assert plain == {1: "a", 2: "Out of Zone", 3: "Out of Zone", 4: "a", 5: "Out of Zone"}
     scaled = {r["i"]: r["location"] for r in joins.zone_code(pitches, zones, height="b_height").collect()}
     assert scaled[4] == "Out of Zone" and scaled[1] == "a"
-    with pytest.raises(ValueError):
-        joins.zone_code(pitches, zones, max_zones=2)
+
+
+def test_zone_code_finds_the_first_of_many_zones(spark):
+    grid = [(i, "R", i / 10 - 50, i / 10 - 49, 0.0, 100.0, f"z{i}") for i in range(1000)] + [(2000, "R", -1e9, 1e9, -1e9, 1e9, "far")]
+    zones = spark.createDataFrame(grid, "ord int, " + S.ZONE_SCHEMA)
+    pitches = spark.createDataFrame([(i, "R", i * 0.7 - 60, 1.0) for i in range(200)], "i int, stand string, px double, pz double")
+    for row in joins.zone_code(pitches, zones).collect():
+        first = next(z[6] for z in grid if z[2] <= row["px"] <= z[3] and z[4] <= row["pz"] <= z[5])
+        assert row["location"] == first

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lineout.queries.fixture import Tables
-from lineout.sources.read import spread
+from lineout.sources.read import season_batters
 from tests.conftest import SF_SMALL
 from tests.oracle import connect, differences
 
@@ -58,7 +58,7 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<row_key:string,hit_speed:double,hit_angle:double>" in plan
 
 
-def test_only_small_scans_are_spread(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == cores
-    assert spread(spark.range(10).repartition(cores + 3)).rdd.getNumPartitions() == cores + 3
+def test_seasons_reach_the_scan_as_date_ranges(spark):
+    df = season_batters(Tables(spark, SF_SMALL).balls, 1996)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(game_date,1996-01-01)" in plan and "LessThan(game_date,1997-01-01)" in plan
