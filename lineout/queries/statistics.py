@@ -48,18 +48,47 @@ def _(t):
     return stats.main_effect(t.pitches, "hit_angle", "velocity_range").select("df", F.round("sum_sq", 4).alias("sum_sq"))
 
 
-@query("t3_anova_velocity")
+def _anova_sql(table: str, b: str) -> str:
+    """Two-way analysis of variance in closed form, for a first factor with the levels L and R.
+
+    With d the cell difference in a level of the second factor and h half the
+    harmonic mean of its counts, the first factor explains (sum h d)^2 / sum h
+    after the second.
+    """
+    return f"""cells AS (SELECT stand, {b} AS b, CAST(count(*) AS DOUBLE) AS n, avg(hit_angle) AS m, var_pop(hit_angle) * count(*) AS w
+  FROM {table} WHERE hit_angle IS NOT NULL AND stand IS NOT NULL AND {b} IS NOT NULL GROUP BY ALL),
+ g AS (SELECT sum(n * m) / sum(n) AS g, sum(n) AS total, count(*) AS c, sum(w) AS w, count(DISTINCT b) AS k FROM cells),
+ t AS (SELECT stand, b, n, n * (m - g) AS t FROM cells, g),
+ first AS (SELECT sum(q) AS ss FROM (SELECT sum(t) * sum(t) / sum(n) AS q FROM t GROUP BY stand)),
+ other AS (SELECT sum(q) AS ss FROM (SELECT sum(t) * sum(t) / sum(n) AS q FROM t GROUP BY b)),
+ pairs AS (SELECT l.n * r.n / (l.n + r.n) AS h, l.t / l.n - r.t / r.n AS d FROM t l JOIN t r ON l.b = r.b AND l.stand = 'L' AND r.stand = 'R'),
+ after AS (SELECT sum(h * d) * sum(h * d) / sum(h) AS ss FROM pairs),
+ terms AS (
+  SELECT 'stand' AS term, 1 AS df, first.ss FROM first
+  UNION ALL SELECT '{b}', k - 1, other.ss + after.ss - first.ss FROM first, other, after, g
+  UNION ALL SELECT 'stand:{b}', c - 1 - k, (SELECT sum(t * t / n) FROM t) - other.ss - after.ss FROM other, after, g
+  UNION ALL SELECT 'Residuals', total - c, w FROM g)
+SELECT term, CAST(df AS BIGINT) AS df, round(ss, 2) AS sum_sq, round(ss / df, 2) AS mean_sq,
+ CASE WHEN term <> 'Residuals' THEN round(ss / df / (SELECT w / (total - c) FROM g), 4) END AS f FROM terms"""
+
+
+def _anova(df, b: str):
+    table = stats.anova_two_way(df, "hit_angle", "stand", b)
+    return table.select("term", "df", F.round("sum_sq", 2).alias("sum_sq"), F.round("mean_sq", 2).alias("mean_sq"), F.round("f", 4).alias("f"))
+
+
+@query("t3_anova_velocity", "WITH " + _anova_sql("pitches", "velocity_range"))
 def _(t):
-    return stats.anova_two_way(t.pitches, "hit_angle", "stand", "velocity_range")
+    return _anova(t.pitches, "velocity_range")
 
 
 def _zoned(t):
     return joins.zone_code(t.pitches, joins.default_zones(t.spark))
 
 
-@query("t3_anova_location")
+@query("t3_anova_location", f"WITH {ZONED}, " + _anova_sql("zoned", "location"))
 def _(t):
-    return stats.anova_two_way(_zoned(t), "hit_angle", "stand", "location")
+    return _anova(_zoned(t), "location")
 
 
 @query("t4_tukey_velocity")
