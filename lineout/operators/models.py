@@ -55,7 +55,7 @@ def _tree_features(numeric: Sequence[str], categorical: Sequence[str]) -> list:
     return [*_scaled(numeric), *indexers, VectorAssembler(inputCols=parts, outputCol="features")]
 
 
-def _one_hot_features(vectors: Sequence[str], categorical: Sequence[str]) -> list:
+def one_hot_features(vectors: Sequence[str], categorical: Sequence[str]) -> list:
     indexers = [index_levels(c) for c in categorical]
     encoder = [OneHotEncoder(
         inputCols=[f"{c}_index" for c in categorical], outputCols=[f"{c}_flags" for c in categorical],
@@ -313,7 +313,7 @@ def spline_logit(
     return Pipeline(stages=[
         _computed(list(place.values()), list(place)), _computed(curves, names),
         VectorAssembler(inputCols=names, outputCol="_curves"),
-        *_one_hot_features(["_curves"], categorical),
+        *one_hot_features(["_curves"], categorical),
         LogisticRegression(labelCol=label, regParam=ridge, maxIter=iterations, standardization=False),
     ])
 
@@ -335,7 +335,7 @@ def kernel_svm(
     return Pipeline(stages=[
         _computed(kernel_sql(scaled, gamma, size, seed), names),
         VectorAssembler(inputCols=names, outputCol="_kernel"),
-        *_one_hot_features(["_kernel"], categorical),
+        *one_hot_features(["_kernel"], categorical),
         *([] if numbered else [index_classes(label)]), OneVsRest(classifier=machine, labelCol=label if numbered else LABEL),
     ])
 

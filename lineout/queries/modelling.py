@@ -6,7 +6,8 @@ scores on all cleaned rows and returns a small table of results.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import RFormula
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,11 +33,25 @@ def _(t):
     return models.score_hits(model, rest, "fits").select("fits", F.col("hit").alias("actuals"))
 
 
-@query("f3_formula_features")
+@query("f3_formula_features", """
+WITH r AS (SELECT * FROM clean WHERE fielding_team IS NOT NULL),
+ l AS (SELECT list(DISTINCT stand ORDER BY stand) AS stands, list(DISTINCT home_team ORDER BY home_team) AS teams FROM r)
+SELECT row_key, hit, CAST(2 + len(stands) + len(teams) AS INTEGER) AS width, hit_speed AS x0, hit_angle AS x1,
+ CAST(stand = 'L' AS DOUBLE) AS x2, CAST(stand = 'R' AS DOUBLE) AS x3,
+ CAST(4 + list_position(teams, home_team) AS BIGINT) AS team_place, CAST(1 AS DOUBLE) AS team_flags
+FROM r, l""")
 def _(t):
     df = t.clean.dropna(subset=["fielding_team"])
-    formula = RFormula(formula="hit ~ hit_speed + hit_angle + stand + home_team", featuresCol="x", labelCol="y")
-    return formula.fit(df).transform(df).select("row_key", "y", vector_to_array("x").alias("x"))
+    measures = VectorAssembler(inputCols=["hit_speed", "hit_angle"], outputCol="measures")
+    stages = [measures, *models.one_hot_features(["measures"], ["stand", "home_team"])]
+    x = vector_to_array("features")
+    rows = Pipeline(stages=stages).fit(df).transform(df).select("row_key", "hit", x.alias("x"))
+    teams = F.slice("x", F.lit(5), F.size("x") - 4)
+    return rows.select(
+        "row_key", "hit", F.size("x").alias("width"), *[F.col("x")[i].alias(f"x{i}") for i in range(4)],
+        (4 + F.array_position(teams, F.lit(1.0))).alias("team_place"),
+        F.aggregate(teams, F.lit(0.0), lambda a, b: a + b).alias("team_flags"),
+    )
 
 
 @query("c1_hit_forests")
