@@ -40,7 +40,8 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str | T.StructType) -> DataFr
     """``mapInArrow`` in batches of at most ``BATCH_ROWS`` rows: whole texts are long, and workers and
     executors hold a batch several times. The session keeps a smaller setting of its own."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf.set(name, min(BATCH_ROWS, int(conf.get(name)) or BATCH_ROWS))
+    rows = int(conf.get(name))
+    conf.set(name, BATCH_ROWS if rows <= 0 else min(BATCH_ROWS, rows))
     return df.mapInArrow(fn, schema)
 
 
