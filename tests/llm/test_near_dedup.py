@@ -2,8 +2,6 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import functions as F
-
 from lineout.llm.components import connected_components
 from lineout.llm.near_dedup import near_duplicates
 from tests.conftest import SF_SMALL
@@ -54,8 +52,7 @@ def test_odd_rows(spark):
     for r in rows:
         got.setdefault(r.doc_id, []).append((r.n_shingles, r.component_id, r.kept))
     assert len(rows) == len(ODD)
-    assert got[1] == got[2] or (got[1], got[2]) == ([(0, 1, True)], [(0, 2, True)])
-    assert got[3] == [(0, 3, True)] and got[4] == [(1, 4, True)]
+    assert [got[i] for i in (1, 2, 3)] == [[(0, i, True)] for i in (1, 2, 3)] and got[4] == [(1, 4, True)]
     assert got[7] == [(2, 7, True)] and got[8] == [(2, 7, False)] * 2
     assert got[None] == [(2, None, True)]
     assert got[9][0][0] == 2 and got[10][0][0] == 1
@@ -78,7 +75,6 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert got == {**{i: 100 for i in range(100, 161)}, 7: 7, **{i: 7 for i in range(1000, 1200)}}
 
 
-def test_no_stage_runs_in_one_task_or_crosses(spark):
+def test_nothing_is_crossed(spark):
     plan = near_duplicates(docs_table(spark, [(1, "a b c d e")]))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert F is not None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -127,8 +128,6 @@ def _plain_contaminated(docs, items):
 
 
 def test_contaminated_equals_every_window(spark):
-    import random
-
     rng = random.Random(11)
     vocabulary = [f"v{i}" for i in range(200)]
     items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate([3, 5, 12, 30, 30, 55])] + [(90, None), (91, "")]
