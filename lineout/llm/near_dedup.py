@@ -21,7 +21,7 @@ K = 128  # values retained per document
 # average and falls below this many with a chance under 1e-7.
 SHARED = 70
 FREQUENT = 16  # values retained by more documents come last in the index order
-FILTER_BITS = 1 << 22
+FILTER_BITS = 1 << 22  # bits of the maps by which rows are left out before a join
 
 SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>"
 
@@ -70,20 +70,38 @@ def _set_reader(bits: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return read
 
 
+def _bitmap(values: DataFrame) -> np.ndarray:
+    """A bit map of fixed size of the longs in the only column: FILTER_BITS / 64 rows at most reach the driver."""
+    marks = map_arrow(values.select(F.col(values.columns[0]).alias("id")), _marks, "word long, bits long")
+    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
+    for row in marks.groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
+        bitmap[row.word] = row.bits
+    return bitmap.view(np.uint8)
+
+
 def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, values): the whole sorted sets of the given documents.
+    """(node, values): the whole sorted sets of the given documents, and of a few that share their bits.
 
-    A bit map of fixed size first leaves out most other documents without moving
-    a text; the join that follows is exact.
+    The bit map leaves the other documents out without moving a text; the joins
+    that follow are by node, so the few more do no harm.
     """
-    marks = map_arrow(nodes.select(F.col("node").alias("id")), _marks, "word long, bits long")
-    marks = marks.groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()  # at most FILTER_BITS / 64 rows
-    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
-    for row in marks:
-        bitmap[row.word] = row.bits
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    found = map_arrow(found, _set_reader(bitmap.view(np.uint8)), "node long, values array<long>")
-    return stored(found.join(nodes, "node", "left_semi"))
+    return stored(map_arrow(found, _set_reader(_bitmap(nodes)), "node long, values array<long>"))
+
+
+def _value_reader(bits: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(tag, value) of the retained values whose bit is set."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("sketch")
+            values, at = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+            tags = np.repeat(batch.column("tag").to_numpy(zero_copy_only=False), at)
+            bit = _id_bits(values)
+            keep = ((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)
+            yield pa.RecordBatch.from_arrays([pa.array(tags[keep]), pa.array(values[keep])], ["tag", "value"])
+
+    return read
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +147,9 @@ def index_lists(sketches: DataFrame, reps: DataFrame) -> DataFrame:
     """
     spread = sketches.select("tag", F.explode("sketch").alias("value"))
     frequent = stored(spread.groupBy("value").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > FREQUENT))
-    late = spread.join(frequent, "value").groupBy("tag").agg(F.collect_list(F.struct("size", "value")).alias("late"))
+    # Few values are frequent: the bit map spares moving all others to meet them.
+    maybe = map_arrow(sketches.select("tag", "sketch"), _value_reader(_bitmap(frequent)), "tag long, value long")
+    late = maybe.join(frequent, "value").groupBy("tag").agg(F.collect_list(F.struct("size", "value")).alias("late"))
     nodes = sketches.join(reps, "tag").join(late, "tag", "left")
     late_values = F.transform("late", lambda s: s["value"])
     ordered = F.when(F.col("late").isNull(), F.col("sketch")).otherwise(
@@ -220,7 +240,7 @@ def candidate_links(lists: DataFrame, docs: DataFrame) -> DataFrame:
     tried = tried.unionByName(pairs)
 
     members = stored(still_open.filter(F.col("size") > FREQUENT).select("node").distinct())
-    whole = full_lists(_full_sets(docs, members))
+    whole = full_lists(_full_sets(docs, members).join(members, "node", "left_semi"))
     pairs = stored(_hub_pairs(stored(_open_lists(whole, links)).select(*whole.columns)).join(tried, ["a", "b"], "left_anti"))
     links = stored(links.unionByName(_verified(pairs, docs)))
     tried = tried.unionByName(pairs)
