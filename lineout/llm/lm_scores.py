@@ -7,110 +7,282 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineout.llm.common import map_arrow
+from lineout.llm.common import map_arrow, stored
 from lineout.llm.words import blocks, mixed, words
 
-BITS = 20  # pairs of context and word, the same at every size; the models stay small enough to send to every task
-CONTEXT_BITS = 7  # words before are told apart by so many bits of their hash
 BACKOFF = 2.0  # weight of the unigram chance in a bigram estimate
-EMIT_ROWS = 200_000
+HOT = 1 << 18  # words and pairs met so often are counted first and sent to every task: at most one per HOT words of text
+BUCKETS, BUCKET_WORDS = 256, 1 << 20  # words of text are dealt into buckets of about this size, and so many at least
+PART_WORDS = 1 << 19  # words of text that a task sorts and counts at once
+UNIT = 2.0**32  # losses are summed as integers of this fraction, so that no order of rows changes a sum
 
 _BEGIN = np.uint64(0xB5297A4D)
+_SCORED = "key long, doc_id long, n long, background long, target long"
+_DEALT = "bucket int, base long, words binary, pairs binary, codes binary, docs array<long>, sums binary"
 
 
 @dataclass
-class Models:
-    """Pair counts of background and target, each with 2 ** CONTEXT_BITS rows of words of one hashed vocabulary."""
+class Part:
+    """Words of some rows of a task in their order, and the key of the first of these rows."""
+
+    base: int
+    word: np.ndarray
+    pair: np.ndarray
+    row: np.ndarray
+    first: np.ndarray  # no word before
+    last: np.ndarray  # no word after
+    target: np.ndarray  # of each row
+    ids: pa.Array
+
+    @classmethod
+    def of(cls, base: int, batches: list[pa.RecordBatch]) -> Part:
+        batch = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+        found = words(batch.column("text"))
+        first, last = np.ones(len(found.row), bool), np.ones(len(found.row), bool)
+        first[1:] = found.row[1:] != found.row[:-1]
+        last[:-1] = first[1:]
+        before = np.full(len(found.row), _BEGIN, np.uint64)
+        before[1:] = np.where(first[1:], _BEGIN, found.hashes[:-1])
+        target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
+        return cls(base, found.hashes, mixed(mixed(before) + found.hashes), found.row, first, last, target, batch.column("doc_id"))
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
+    """About ``PART_WORDS`` words each; rows are numbered within the task."""
+    held, size, rows, base = [], 0, 0, TaskContext.get().partitionId() << 40
+    for batch in blocks(batches):
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.column("text").nbytes // 6
+        if size >= PART_WORDS:
+            yield Part.of(base, held)
+            held, size, rows, base = [], 0, 0, base + rows
+    if held:
+        yield Part.of(base, held)
 
-    bits: int
-    counts: np.ndarray
 
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
-def _pairs(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each word the cell of (class of the word before or of the begin mark, word), and its row."""
-    found = words(column)
-    before = np.full(len(found.hashes), _BEGIN, np.uint64)
-    before[1:] = np.where(found.row[1:] == found.row[:-1], found.hashes[:-1], _BEGIN)
-    context, word = mixed(before) >> np.uint64(64 - CONTEXT_BITS), found.hashes >> np.uint64(64 - bits + CONTEXT_BITS)
-    return ((context << np.uint64(bits - CONTEXT_BITS)) | word).astype(np.int64), found.row
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each word of a part is met and how often it is followed by one, in all rows and in those of the target."""
+    for part in _parts(batches):
+        word, at = np.unique(part.word, return_inverse=True)
+        target = part.target[part.row]
+        counts = [np.bincount(at[use], minlength=len(word)) for use in (slice(None), target, ~part.last, target & ~part.last)]
+        yield pa.RecordBatch.from_arrays([_signed(word), *map(pa.array, counts)], ["word", "n", "n_target", "c", "c_target"])
 
-def _counter(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+
+def _found(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each value in a sorted table, and whether it is there."""
+    at = np.minimum(np.searchsorted(table, values), max(0, len(table) - 1))
+    return at, table[at] == values if len(table) else np.zeros(len(values), bool)
+
+
+def _pair_counter(hot: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of the task, one row per cell met."""
-        total = np.zeros((2, 1 << bits), np.int32)
-        for batch in blocks(batches):
-            cell, row = _pairs(batch.column("text"), bits)
-            np.add.at(total[0], cell, 1)
-            is_target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
-            np.add.at(total[1], cell[is_target[row]], 1)
-        used = np.flatnonzero(total[0])
-        for a in range(0, len(used), EMIT_ROWS):
-            at = used[a : a + EMIT_ROWS]
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (at, total[0, at], total[1, at])], ["cell", "n", "n_target"])
+        """Counts of the pairs of two hot words, or of one that begins a text: no other pair is met as often."""
+        for part in _parts(batches):
+            is_hot = _found(hot, part.word)[1]
+            use = is_hot & part.first
+            use[1:] |= is_hot[1:] & is_hot[:-1] & ~part.first[1:]
+            pair, at = np.unique(part.pair[use], return_inverse=True)
+            n, n_target = np.bincount(at, minlength=len(pair)), np.bincount(at[part.target[part.row[use]]], minlength=len(pair))
+            yield pa.RecordBatch.from_arrays([_signed(pair), pa.array(n), pa.array(n_target)], ["pair", "n", "n_target"])
 
     return count
 
 
-def count_models(docs: DataFrame, labels: DataFrame, bits: int = BITS) -> Models:
-    """Pair counts of all documents and of all those labelled quality 1.
+@dataclass
+class Models:
+    """What every task needs of background and target (0 and 1); all other counts stay with their words."""
 
-    Tasks count their share before anything is shuffled; the sums, at most
-    ``2 ** bits`` rows, come to the driver.
+    vocabulary: int
+    total: list[int]
+    begun: list[int]  # texts that have a word
+    words: np.ndarray  # hot ones, sorted
+    word_counts: np.ndarray
+    followed: np.ndarray
+    pairs: np.ndarray
+    pair_counts: np.ndarray
+
+    def pair_loss(self, side: int, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return _fixed(-np.log(pair + BACKOFF * ((word + 1.0) / (self.total[side] + self.vocabulary))))
+
+
+def _fixed(loss: np.ndarray | float) -> np.ndarray:
+    return np.rint(loss * UNIT).astype(np.int64)
+
+
+def _sorted(rows: list, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in order, and the counts beside them, one row per column."""
+    table = np.array([tuple(r) for r in rows], np.int64).reshape(-1, columns)
+    hashes = np.ascontiguousarray(table[:, 0]).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], table[order, 1:].T
+
+
+def count_models(marked: DataFrame, hot: int = HOT) -> Models:
+    """Totals and hot counts of all documents and of the marked ones.
+
+    Every word is counted, by part before anything is shuffled. The driver gets
+    the totals and the words and pairs met ``hot`` times or more, at most one per
+    ``hot`` words of text.
     """
-    wanted = labels.filter("quality = 1").select("doc_id").dropna().distinct().withColumn("target", F.lit(True))
-    marked = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    counted = map_arrow(marked, _counter(bits), "cell int, n int, n_target int").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-    counts = np.zeros((2, 1 << bits), np.float32)
-    found = counted.select("cell", F.col("n").cast("float"), F.col("n_target").cast("float")).toArrow()
-    for batch in found.to_batches():
-        cell = batch.column("cell").to_numpy()
-        counts[0, cell], counts[1, cell] = batch.column("n").to_numpy(), batch.column("n_target").to_numpy()
-    return Models(bits, counts)
+    names = ("n", "n_target", "c", "c_target")
+    counted = map_arrow(marked, _count_words, "word long, n long, n_target long, c long, c_target long").groupBy("word").agg(*[F.sum(c).alias(c) for c in names])
+    whole = counted.agg(
+        F.count("*").alias("vocabulary"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names],
+        F.collect_list(F.when(F.col("n") >= hot, F.struct("word", *names))).alias("hot"),
+    ).first()
+    found, counts = _sorted(whole.hot, 5)
+    pairs, pair_counts = _sorted([], 3)
+    if len(found):
+        often = map_arrow(marked, _pair_counter(found), "pair long, n long, n_target long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+        pairs, pair_counts = _sorted(often.filter(F.col("n") >= hot).collect(), 3)
+    begun = [whole.n - whole.c, whole.n_target - whole.c_target]  # one last word for each
+    return Models(whole.vocabulary, [whole.n, whole.n_target], begun, found, counts[:2], counts[2:], pairs, pair_counts)
 
 
-def _scorer(models: Models) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    bits, counts = models.bits, models.counts
-    vocabulary = 1 << (bits - CONTEXT_BITS)
+def _cut(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """One binary value between each two cuts."""
+    offsets = (cuts * values.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counts.reshape(2, -1, vocabulary)
-        context = table.sum(axis=2, dtype=np.float64)
-        single = table.sum(axis=1, dtype=np.float64) + 1.0
-        single /= single.sum(axis=1, keepdims=True)
-        for batch in blocks(batches):
-            cell, row = _pairs(batch.column("text"), bits)
-            word, before = cell & (vocabulary - 1), cell >> (bits - CONTEXT_BITS)
-            losses = []
+
+def _dealer(models: Models, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = [field.split()[0] for field in _DEALT.split(", ")]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words of each part by bucket, one row each, and one row for its documents with the sums known here.
+
+        A word's bucket has all its pairs; those of a hot word, whose count is known, are dealt by pair.
+        """
+        for part in _parts(batches):
+            rows = len(part.ids)
+            n = np.bincount(part.row, minlength=rows)
+            sums = np.zeros((3, rows), np.int64)
+            sums[0] = n
+            at, hot = _found(models.words, part.word)
+            place, known = _found(models.pairs, part.pair)
+            known &= hot
+            follows = hot & ~part.last
             for side in (0, 1):
-                chance = (counts[side, cell] + BACKOFF * single[side, word]) / (context[side, before] + BACKOFF)
-                losses.append(np.bincount(row, -np.log(chance), minlength=batch.num_rows))
-            n = np.bincount(row, minlength=batch.num_rows)
-            background, target = (loss / np.maximum(n, 1) for loss in losses)
+                sums[side + 1, n > 0] += _fixed(np.log(models.begun[side] + BACKOFF))
+                np.add.at(sums[side + 1], part.row[follows], _fixed(np.log(models.followed[side, at[follows]] + BACKOFF)))
+                loss = models.pair_loss(side, models.pair_counts[side, place[known]], models.word_counts[side, at[known]])
+                np.add.at(sums[side + 1], part.row[known], loss)
+            code = ((part.row << 2) | (part.last << 1) | part.target[part.row]).astype(np.uint32)
+            by = np.where(hot, part.pair, part.word)
+            order = np.flatnonzero(~known)
+            order = order[np.lexsort((part.pair[order], by[order]))]
+            bucket = ((by[order] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
+            many = len(cuts) - 1
+            none = [pa.nulls(many, pa.list_(pa.int64())), pa.nulls(many, pa.binary())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n.astype(np.int64)), *map(pa.array, (target, background, target - background))],
-                ["doc_id", "n_words", "target_loss", "background_loss", "loss_difference"],
+                [pa.array(bucket[cuts[:-1]]), pa.array(np.full(many, part.base)), *(_cut(x[order], cuts) for x in (part.word, part.pair, code)), *none], names
             )
+            ids = pa.ListArray.from_arrays(pa.array([0, rows], pa.int32()), part.ids)
+            head = int(mixed(np.array([part.base], np.uint64))[0] % np.uint64(buckets))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([head], pa.int32()), pa.array([part.base]), *[pa.nulls(1, pa.binary())] * 3, ids, pa.array([sums.tobytes()], pa.binary())], names
+            )
+
+    return deal
+
+
+def _runs(begins: np.ndarray, *weights: np.ndarray) -> Iterator[np.ndarray]:
+    """Sum of each weight over the run that each place lies in."""
+    at = np.flatnonzero(begins)
+    for weight in weights:
+        yield np.add.reduceat(weight.astype(np.int64), at)[np.cumsum(begins) - 1]
+
+
+def _scored(models: Models, held: list[tuple[int, bytes, bytes, bytes]]) -> pa.RecordBatch:
+    """Sums of a bucket's documents over its words."""
+    word, pair, code = (np.concatenate([np.frombuffer(h[i], kind) for h in held]) for i, kind in ((1, np.uint64), (2, np.uint64), (3, np.uint32)))
+    key = np.repeat(np.array([h[0] for h in held]), [len(h[3]) // 4 for h in held]) + (code >> 2)
+    order = np.lexsort((pair, word))
+    word, pair, code, key = word[order], pair[order], code[order], key[order]
+    new_word, new_pair = np.ones(len(word), bool), np.ones(len(word), bool)
+    new_word[1:] = word[1:] != word[:-1]
+    new_pair[1:] = new_word[1:] | (pair[1:] != pair[:-1])
+    target, follows = (code & 1) == 1, (code & 2) == 0
+    at, hot = _found(models.words, word)
+    ones = np.ones(len(word), np.int64)
+    loss = []
+    for side, of in enumerate((ones, target)):
+        (n_pair,), (n_word, followed) = _runs(new_pair, of), _runs(new_word, of, of & follows)
+        n_word[hot] = models.word_counts[side, at[hot]]
+        add = models.pair_loss(side, n_pair, n_word)
+        own = follows & ~hot
+        add[own] += _fixed(np.log(followed[own] + BACKOFF))
+        loss.append(add)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sums = [np.add.reduceat(x[order], first) for x in loss]
+    return _rows(key[first], pa.nulls(len(first), pa.int64()), np.zeros(len(first), np.int64), *sums)
+
+
+def _rows(key: np.ndarray, ids: pa.Array, *values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), ids, *map(pa.array, values)], [field.split()[0] for field in _SCORED.split(", ")])
+
+
+def _scorer(models: Models) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums by document, bucket after bucket; buckets come one after another."""
+        held, now = [], None
+        for batch in batches:
+            columns = [batch.column(name) for name in ("bucket", "base", "words", "pairs", "codes", "docs", "sums")]
+            for i in range(batch.num_rows):
+                bucket, base, *found, docs, sums = (c[i] for c in columns)
+                if docs.is_valid:
+                    ids = docs.values
+                    yield _rows(base.as_py() + np.arange(len(ids)), ids.cast(pa.int64()), *np.frombuffer(sums.as_py(), np.int64).reshape(3, -1))
+                    continue
+                if held and bucket.as_py() != now:
+                    yield _scored(models, held)
+                    held = []
+                now = bucket.as_py()
+                held.append((base.as_py(), *(x.as_py() for x in found)))
+        if held:
+            yield _scored(models, held)
 
     return score
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, bits: int = BITS) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, hot: int = HOT, buckets: int = BUCKETS) -> DataFrame:
     """One row per document: doc_id, n_words, mean loss per word under both models, and their difference.
 
     The target model is learned from all documents labelled quality 1, the
     background from all documents. Both are bigram models, backed off to words,
-    over one vocabulary of hashed words. All texts are counted, each task's counts
-    are gathered, and the pairs fill ``2 ** bits`` cells. The lower ``loss_difference``, the more a text is
-    like the target. Null and empty texts have no words and all values 0. Rows are
-    scored one by one, so repeated rows give repeated results; an empty table
-    gives none. Without a labelled row the target model is uniform.
+    over the vocabulary of all documents: words and pairs are told apart by 64-bit
+    hashes, and every one is counted. The words of all texts are dealt by their hash, so that
+    each meets the counts of its pairs, and the losses go back to the documents; words and
+    pairs met ``hot`` times or more are counted first, and no task gets all of them.
+    The lower ``loss_difference``, the more a text is like the target. Null and
+    empty texts have no words and all values 0. Repeated rows give repeated
+    results; an empty table gives none. Without a labelled row the target model is uniform.
     """
-    schema = "doc_id long, n_words long, target_loss double, background_loss double, loss_difference double"
-    return map_arrow(docs.select("doc_id", "text"), _scorer(count_models(docs, labels, bits)), schema)
+    wanted = labels.filter("quality = 1").select("doc_id").dropna().distinct().withColumn("target", F.lit(True))
+    marked = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    marked = stored(marked)  # read two or three times, each time in the same order: rows are known by their place
+    models = count_models(marked, hot)
+    buckets = max(buckets, -(-models.total[0] // BUCKET_WORDS))
+    dealt = map_arrow(marked, _dealer(models, buckets), _DEALT).repartition("bucket").sortWithinPartitions("bucket")
+    sums = map_arrow(dealt, _scorer(models), _SCORED).groupBy("key")
+    sums = sums.agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n", "background", "target")])
+    mean = {side: F.col(side) / F.lit(UNIT) / F.greatest("n", F.lit(1)) for side in ("target", "background")}
+    return sums.select(
+        "doc_id", F.col("n").alias("n_words"), mean["target"].alias("target_loss"), mean["background"].alias("background_loss"),
+        (mean["target"] - mean["background"]).alias("loss_difference"),
+    )
 
 
 def op10_lm_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import pytest
 
 from lineout.llm.lm_scores import score_documents
 from lineout.llm.resampling import select_quality
 from lineout.llm.toxicity import drop_toxic, score_toxicity
-from tests.llm.helpers import ODD, docs_table, labels_table
+from tests.llm.helpers import LOWER, ODD, WORD, docs_table, labels_table
 
 
 @pytest.fixture(scope="module")
@@ -77,3 +79,40 @@ def test_odd_rows_labels_and_empty_tables(spark, operator):
         assert sorted(str(r.doc_id) for r in rows) == sorted(str(d) for d, _ in ODD)
         assert all(v is not None for r in rows for k, v in r.asDict().items() if k != "doc_id")
     assert operator(docs_table(spark, []), labels_table(spark)).collect() == []
+
+
+def exact_losses(docs, good):
+    """[(id, words, target loss, background loss)] of bigram models over whole words, in plain Python."""
+    texts = [(d, WORD.findall((text or "").translate(LOWER))) for d, text in docs]
+    vocabulary = {w for _, found in texts for w in found}
+    models = []
+    for wanted in (lambda d: d in good, lambda d: True):
+        used = [found for d, found in texts if wanted(d)]
+        pairs = Counter(p for found in used for p in zip([None, *found], found))
+        single, before = Counter(w for found in used for w in found), Counter(b for found in used for b in [None, *found][:-1])
+        models.append((pairs, single, before, sum(single.values()) + len(vocabulary)))
+    rows = []
+    for d, found in texts:
+        loss = [
+            -sum(math.log((pairs[p] + 2.0 * (single[p[1]] + 1) / total) / (before[p[0]] + 2.0)) for p in zip([None, *found], found)) / max(1, len(found))
+            for pairs, single, before, total in models
+        ]
+        rows.append((d, len(found), *loss))
+    return rows
+
+
+@pytest.mark.parametrize("hot, buckets", [(1 << 18, 256), (40, 3), (1, 1)])
+def test_losses_tell_every_word_and_pair_apart(spark, hot, buckets):
+    rng = random.Random(5)
+    often, seldom = [f"w{i}" for i in range(12)], [f"x{i}" for i in range(40_000)]
+    docs = [(i, " ".join(rng.choice(often) if rng.random() < 0.4 else rng.choice(seldom) for _ in range(rng.randrange(250)))) for i in range(250)]
+    docs += [(1000 + i, "w0 w1 w2 again") for i in range(60)] + [r for r in ODD if r[0] not in (9, None)] + [(3, "a tie"), (None, "W0 w1"), (None, None)]
+    good = {i for i in range(0, 250, 3)} | {1000, 1001, 8}
+    labels = labels_table(spark, [(i, 1, 0) for i in good] + [(1, 0, 0), (None, 1, 0), (8, 1, 1)])
+    got = score_documents(docs_table(spark, docs).repartition(5), labels, hot, buckets).collect()
+    by_id = lambda rows: sorted(rows, key=lambda r: (str(r[0]), r[1]))
+    want = by_id(exact_losses(docs, good))
+    assert len(got) == len(want)
+    for row, (doc, n, target, background) in zip(by_id(got), want):
+        assert (row.doc_id, row.n_words) == (doc, n)
+        assert (row.target_loss, row.background_loss, row.loss_difference) == pytest.approx((target, background, target - background), abs=1e-7)
