@@ -1,7 +1,8 @@
-"""License scan: winnowed fingerprints pick candidates, banded alignment measures them."""
+"""License scan: shared runs of words pick candidates, banded alignment measures them."""
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
@@ -42,9 +43,49 @@ TEMPLATES = {
         "conditions and the following disclaimer."
     ),
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "All-rights-reserved": "All rights reserved.",
+    "BSD": "Released under the BSD License.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "LGPL-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) "
+        "any later version."
+    ),
+    "AGPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) "
+        "any later version."
+    ),
+    "MPL-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "ISC-grant": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "MIT-disclaimer": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+        "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "BSD-disclaimer": (
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+        "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+        "DISCLAIMED."
+    ),
 }
-GRAM = 3  # words per fingerprint
-WINDOW = 2  # every run of GRAM + WINDOW - 1 shared words holds a shared fingerprint
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial"}
+_CC |= {f"BY-NC-{k[3:]}": v.replace("Attribution", "Attribution-NonCommercial") for k, v in _CC.items() if k in ("BY-SA", "BY-ND")}
+for _code, _name in _CC.items():
+    TEMPLATES[f"CC-{_code}-4.0-notice"] = f"Licensed under CC {_code} 4.0."
+    TEMPLATES[f"CC-{_code}-4.0"] = f"This work is licensed under a Creative Commons {_name} 4.0 International License."
+GRAM = 3  # shared words in a row that make a candidate
+LEAST = 4  # words of a longer template that a place matches at least
 BAND = 8  # words inserted or left out that the alignment follows
 COVERAGE = 0.6
 BITMAP = 16
@@ -52,26 +93,20 @@ BITMAP = 16
 FOUND = "doc_id long, license string, coverage double, matched_words int, start_char int, end_char int"
 
 
-def winnowed(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints of each row: hash, row and place (word index within the row) of the least gram of each window."""
+def grams(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every run of ``GRAM`` words: hash, row and place (word index within the row). A shorter row is one run."""
     hashes, row = shingles(found, GRAM)
-    least = np.bincount(row)[row] < WINDOW if len(row) else np.zeros(0, bool)
-    if len(row) >= WINDOW:
-        view = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW)
-        at = np.arange(WINDOW - 1, len(row)) - view[:, ::-1].argmin(axis=1)  # the rightmost of equals
-        least[at[row[: len(view)] == row[WINDOW - 1 :]]] = True
-    keep = np.flatnonzero(least)
-    return hashes[keep], row[keep], keep - np.searchsorted(row, row[keep])
+    return hashes, row, np.arange(len(row)) - np.searchsorted(row, row)
 
 
 class _Index:
-    """Inverted index of the templates' fingerprints, small by the templates given."""
+    """Inverted index of the templates' runs of words, small by the templates given."""
 
     def __init__(self, templates: Mapping[str, str]):
         self.names = list(templates)
         found = words(pa.array(list(templates.values()), pa.string()), inside_of=ALNUM)
         self.words = [found.hashes[a:b] for a, b in zip(found.first, found.first[1:])]
-        hashes, template, place = winnowed(found)
+        hashes, template, place = grams(found)
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.template, self.place = hashes[order], template[order], place[order]
         self.bitmap = np.zeros(1 << BITMAP, bool)
@@ -79,7 +114,7 @@ class _Index:
 
     def hits(self, found: Words) -> np.ndarray:
         """Rows of (row, template, place in the text, place in the template), sorted."""
-        hashes, row, place = winnowed(found)
+        hashes, row, place = grams(found)
         maybe = np.flatnonzero(self.bitmap[(hashes >> np.uint64(64 - BITMAP)).astype(np.int64)])
         low = np.searchsorted(self.hashes, hashes[maybe], side="left")
         high = np.searchsorted(self.hashes, hashes[maybe], side="right")
@@ -129,25 +164,47 @@ def _regions(hits: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, int, int
         begin = k
 
 
+def _best(places: list[tuple[int, np.ndarray]], sizes: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """Places but those with words left out or between, all of whose words another template explains better.
+
+    "CC BY-NC 4.0" is no place of "CC BY 4.0", nor the reverse. A whole copy always stays.
+    """
+    places = sorted(places, key=lambda p: p[1][0])
+    begins, widest = [at[0] for _, at in places], max(at[-1] - at[0] for _, at in places)
+    for template, at in places:
+        share = len(at) / len(sizes[template])
+        whole = share == 1 and at[-1] - at[0] == len(at) - 1
+        around = places[bisect_left(begins, at[0] - widest) : bisect_right(begins, at[0])]
+        if whole or not any((len(by), len(by) / len(sizes[other])) > (len(at), share) and at[-1] <= by[-1] and np.isin(at, by).all() for other, by in around):
+            yield template, at
+
+
 def _scanner(templates: Mapping[str, str], coverage: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _Index(templates)
         for batch in blocks(batches):
             found = words(batch.column("text"), inside_of=ALNUM)
-            rows, free = [], {}
+            rows, free, places = [], {}, {}
             data, offsets = text_bytes(batch.column("text"))
             ids = batch.column("doc_id").to_pylist()
             for row, template, shift in _regions(index.hits(found), [len(w) for w in index.words]):
                 wanted, skip = index.words[template], free.get((row, template), 0)
                 a = found.first[row] + skip  # words of an earlier place are used up
-                matched = aligned(found.hashes[a : found.first[row + 1]], wanted, shift - skip)
-                if not matched or len(matched) < coverage * len(wanted):
+                least = max(coverage * len(wanted), min(LEAST, len(wanted)))
+                text = found.hashes[a : found.first[row + 1]]
+                near = text[max(0, shift - skip - BAND) : max(0, shift - skip + len(wanted) + BAND)]
+                if np.isin(wanted, near).sum() < least:  # no alignment matches more
+                    continue
+                matched = aligned(text, wanted, shift - skip)
+                if len(matched) < least:
                     continue
                 free[row, template] = skip + matched[-1] + 1
-                start, end = found.starts[a + matched[0]], found.ends[a + matched[-1]]
+                places.setdefault(row, []).append((template, a + np.array(matched)))
+            for row, (template, at) in ((row, place) for row, of in places.items() for place in _best(of, index.words)):
+                start, end = found.starts[at[0]], found.ends[at[-1]]
                 letters = (data[offsets[row] : end] & 0xC0) != 0x80
                 before = int(letters[: start - offsets[row]].sum())
-                rows.append((ids[row], index.names[template], len(matched) / len(wanted), len(matched), before, int(letters.sum())))
+                rows.append((ids[row], index.names[template], len(at) / len(index.words[template]), len(at), before, int(letters.sum())))
             kinds = [pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
             names = [field.split()[0] for field in FOUND.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
@@ -159,11 +216,12 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, cov
     """One row per place where a template is found: doc_id, license, coverage, matched words and character span.
 
     Words are runs of letters and digits, A-Z lower-cased. Every place that shares
-    ``GRAM + WINDOW - 1`` words in a row with a template is a candidate, over the
+    ``GRAM`` words in a row with a template is a candidate, over the
     whole text; it counts if the alignment matches at least ``coverage`` of the
-    template's words. The span is in code points, from the first to the last
+    template's words, and ``LEAST`` of them or all. The span is in code points, from the first to the last
     matched word. One text may match several templates and a template several
-    times. Null and empty texts match nothing; a null id is returned as null.
+    times; a place with words left out or between is not returned if another template
+    matches all its words and more. Null and empty texts match nothing; a null id is returned as null.
     Documents are scanned one by one where they lie: nothing is shuffled.
     """
     return map_arrow(docs.select("doc_id", "text"), _scanner(dict(templates), coverage), FOUND)

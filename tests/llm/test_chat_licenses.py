@@ -5,6 +5,7 @@ import random
 
 from lineout.llm.chat import ESCAPED, format_conversations, op7_chat_format, read_back
 from lineout.llm.licenses import TEMPLATES, scan_licenses
+from tests.conftest import SF_SMALL
 from tests.llm.helpers import ODD, docs_table
 
 TURNS = "conv_id long, turn long, role string, text string, formatted string"
@@ -60,3 +61,26 @@ def test_licenses_are_found_with_their_spans(spark):
     assert [f[0] for f in found[101]] == ["MIT", "MIT"] and found[101][1][1] == TEMPLATES["MIT"].upper()[:-1]
     assert ("GPL-3.0", TEMPLATES["GPL-3.0"][:-1], 1.0) in found[103]
     assert scan_licenses(docs_table(spark, [])).collect() == []
+
+
+LINES = {
+    "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0-notice", "All rights reserved.": "All-rights-reserved",
+}
+
+
+def test_every_license_line_of_the_documents_is_found(spark):
+    docs = spark.read.parquet(SF_SMALL.replace("sf0.001", "sf0.1") + "/documents.parquet")
+    want = {(r.doc_id, name) for r in docs.select("doc_id", "text").collect() for line, name in LINES.items() if line in (r.text or "")}
+    rows = scan_licenses(docs).collect()
+    assert {name for _, name in want} == set(LINES.values())
+    assert {(r.doc_id, r.license) for r in rows if r.coverage == 1} >= want
+    assert not [r for r in rows if r.license not in LINES.values()]
+
+
+def test_similar_notices_are_told_apart(spark):
+    names = [name for name in TEMPLATES if name.startswith("CC-") or name in ("GPL-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0", "BSD", "MIT", "All-rights-reserved")]
+    docs = [(i, f"one two {TEMPLATES[name]} three") for i, name in enumerate(names)]
+    found = [(r.doc_id, r.license, r.coverage) for r in scan_licenses(docs_table(spark, docs)).collect()]
+    assert sorted(found) == [(i, name, 1.0) for i, name in enumerate(names)]
