@@ -93,9 +93,9 @@ BITMAP = 16
 FOUND = "doc_id long, license string, coverage double, matched_words int, start_char int, end_char int"
 
 
-def grams(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every run of ``GRAM`` words: hash, row and place (word index within the row). A shorter row is one run."""
-    hashes, row = shingles(found, GRAM)
+def grams(found: Words, size: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every run of ``size`` words: hash, row and place (word index within the row). A shorter row is one run."""
+    hashes, row = shingles(found, size)
     return hashes, row, np.arange(len(row)) - np.searchsorted(row, row)
 
 
@@ -106,6 +106,7 @@ class _Index:
         self.names = list(templates)
         found = words(pa.array(list(templates.values()), pa.string()), inside_of=ALNUM)
         self.words = [found.hashes[a:b] for a, b in zip(found.first, found.first[1:])]
+        self.sizes = {GRAM} | {len(w) for w in self.words if 0 < len(w) < GRAM}  # a shorter template is one run of its own size
         hashes, template, place = grams(found)
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.template, self.place = hashes[order], template[order], place[order]
@@ -114,14 +115,16 @@ class _Index:
 
     def hits(self, found: Words) -> np.ndarray:
         """Rows of (row, template, place in the text, place in the template), sorted."""
-        hashes, row, place = grams(found)
+        out = np.concatenate([self._hits(*grams(found, size)) for size in self.sizes])
+        return np.unique(out, axis=0)  # a short row is the same run at several sizes
+
+    def _hits(self, hashes: np.ndarray, row: np.ndarray, place: np.ndarray) -> np.ndarray:
         maybe = np.flatnonzero(self.bitmap[(hashes >> np.uint64(64 - BITMAP)).astype(np.int64)])
         low = np.searchsorted(self.hashes, hashes[maybe], side="left")
         high = np.searchsorted(self.hashes, hashes[maybe], side="right")
         at, many = np.repeat(maybe, high - low), high - low
         entry = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(many) else low
-        out = np.stack([row[at], self.template[entry], place[at], self.place[entry]], axis=1)
-        return out[np.lexsort(out.T[::-1])]
+        return np.stack([row[at], self.template[entry], place[at], self.place[entry]], axis=1)
 
 
 def aligned(text: np.ndarray, template: np.ndarray, shift: int) -> list[int]:
@@ -216,7 +219,7 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, cov
     """One row per place where a template is found: doc_id, license, coverage, matched words and character span.
 
     Words are runs of letters and digits, A-Z lower-cased. Every place that shares
-    ``GRAM`` words in a row with a template is a candidate, over the
+    ``GRAM`` words in a row with a template, or all words of a shorter one, is a candidate, over the
     whole text; it counts if the alignment matches at least ``coverage`` of the
     template's words, and ``LEAST`` of them or all. The span is in code points, from the first to the last
     matched word. One text may match several templates and a template several

@@ -84,3 +84,20 @@ def test_similar_notices_are_told_apart(spark):
     docs = [(i, f"one two {TEMPLATES[name]} three") for i, name in enumerate(names)]
     found = [(r.doc_id, r.license, r.coverage) for r in scan_licenses(docs_table(spark, docs)).collect()]
     assert sorted(found) == [(i, name, 1.0) for i, name in enumerate(names)]
+
+
+def test_every_copy_of_a_short_template_is_found(spark):
+    rng = random.Random(4)
+    templates = {f"{n} words, {i}": " ".join(f"t{n}x{i}y{j}" for j in range(n)) for n in range(1, 6) for i in range(20)}
+    docs, want = [], []
+    for doc, (name, text) in enumerate(templates.items()):
+        fill = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 9)))
+        docs += [(2 * doc, f"{fill()} {text}, {fill()} {text} {text} {fill()}"), (2 * doc + 1, text)]
+        want += [(2 * doc, name, 1.0)] * 3 + [(2 * doc + 1, name, 1.0)]
+    got = [(r.doc_id, r.license, r.coverage) for r in scan_licenses(docs_table(spark, docs), templates).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_short_notice_with_a_word_between(spark):
+    docs = [(1, "x Released under the new MIT License y"), (2, "x read under the MIT rules y")]
+    assert [(r.doc_id, r.license, r.matched_words) for r in scan_licenses(docs_table(spark, docs)).collect()] == [(1, "MIT", 5)]
