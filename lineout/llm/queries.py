@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineout.llm import chat, decontaminate, licenses, lm_scores, mixing, near_dedup, resampling, rules, toxicity, urls
+from lineout.llm import bpe, chat, decontaminate, licenses, lm_scores, mixing, near_dedup, resampling, rules, toxicity, urls
 from lineout.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,7 @@ def all_queries() -> dict[str, Query]:
         "op8_toxicity": _labelled(toxicity.op8_toxicity),
         "op9_mix_sources": _over("documents", mixing.op9_mix_sources),
         "op10_lm_scores": _labelled(lm_scores.op10_lm_scores),
+        "op12_byte_bpe": _over("documents", bpe.op12_byte_bpe),
     }
 
 
