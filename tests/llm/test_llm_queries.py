@@ -32,7 +32,7 @@ def test_query_without_sql_covers_its_table(spark, name):
 
 
 def test_everything_is_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in all_queries()}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in all_queries()}
     assert set(all_queries()) | {"pipeline"} <= set(entry.queries())
 
 
