@@ -48,8 +48,9 @@ def mix(
     passes: int = 2,
     seed: str = "mix",
     size: Column | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, and its shuffle ``key``.
+    """One row per document: doc_id, size, source_size, target, taken, its shuffle ``key``, and the columns to ``keep``.
 
     Each source's documents are shuffled by md5 of seed and id. A document's
     virtual finish time is the source's words up to its end divided by the
@@ -66,7 +67,7 @@ def mix(
     """
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     counted = word_count(F.col("text")) if size is None else size
-    sized = stored(docs.select("doc_id", "source", counted.alias("size"), key.alias("key")))
+    sized = stored(docs.select("doc_id", "source", counted.alias("size"), key.alias("key"), *keep))
     # Three hex digits are 4096 even ranges of the key.
     bucketed = sized.withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
     totals = bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
@@ -81,7 +82,7 @@ def mix(
         plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("bucket") == F.col("p_bucket"))
     )
     placed = stored(placed.select(
-        "doc_id", "key", "size", "source_size", "target", "budget", "rank", (F.col("offset") + F.col("upto")).alias("upto"),
+        "doc_id", "key", "size", "source_size", "target", "budget", "rank", (F.col("offset") + F.col("upto")).alias("upto"), *keep,
     ))
 
     def finish(turn: Column | int) -> Column:
@@ -107,7 +108,7 @@ def mix(
         return F.when(F.col("size") == 0, 0).when(mine < end, F.col("size")).when(mine == end, last["part"]).otherwise(0)
 
     taken = sum((given(turn) for turn in range(1, passes)), given(0)).cast("long")
-    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "key")
+    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "key", *keep)
 
 
 def op9_mix_sources(docs: DataFrame) -> DataFrame:
