@@ -39,10 +39,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep what the mix takes, with ``taken`` words per document (repeats counted) and its source's ``target``."""
-    mixed = mix(docs).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).filter("taken > 0")
-    mixed, others = mixed.withColumnRenamed("doc_id", "_id"), docs.drop("taken", "target")
-    return others.join(mixed, others["doc_id"].eqNullSafe(mixed["_id"])).drop(mixed["_id"])
+    """Keep what the mix takes, with the ``taken`` words of each row (repeats counted) and its source's ``target``.
+
+    Rows that share an id are rows of their own here: each takes at most twice its size.
+    """
+    tagged = stored(docs.drop("taken", "target").withColumn("_mixed_row", F.monotonically_increasing_id()))
+    mixed = mix(tagged, keep=["_mixed_row"]).filter("taken > 0").select("_mixed_row", "taken", "target")
+    return tagged.join(mixed, "_mixed_row").drop("_mixed_row")
 
 
 STAGES = [
