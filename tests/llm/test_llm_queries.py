@@ -60,6 +60,18 @@ def test_stages_take_odd_and_empty_tables(spark, stage):
     assert stage(spark, docs.limit(0), SF_SMALL).count() == 0
 
 
+def test_mixing_takes_each_row_by_itself(spark):
+    words = lambda n: "word " * n
+    rows = [(i, words(5 + i % 40), "en", f"s{i % 3}") for i in range(300)] + [(7, words(12), "en", "s1")] * 50
+    rows += [(None, words(50), "en", "s0"), (None, words(50), "en", "s2"), (None, words(20), "en", None)] * 7
+    docs = docs_table(spark, rows)
+    out = stored(corpus_pipeline.mixing(spark, docs, SF_SMALL)).collect()
+    size = {id(r): len(r.text.split()) for r in out}
+    assert all(0 < r["taken"] <= 2 * size[id(r)] for r in out)
+    assert sum(int(r["taken"]) for r in out) == sum(len(t.split()) for _, t, *_ in rows) * 3 // 2
+    assert len({(r.source, r["target"]) for r in out}) == len({r.source for r in out})
+
+
 def test_stored_tables_can_be_removed(spark):
     df = stored(spark.range(3))
     assert df.count() == 3
