@@ -64,5 +64,8 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 def test_seasons_reach_the_scan_as_date_ranges(spark):
     df = season_batters(Tables(spark, SF_SMALL).balls, 1996)
+    length = "spark.sql.maxMetadataStringLength"  # the plan's text abbreviates filters beyond it
+    spark.conf.set(length, 10_000)
     plan = df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset(length)
     assert "GreaterThanOrEqual(game_date,1996-01-01)" in plan and "LessThan(game_date,1997-01-01)" in plan
