@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineout import schema as S
-from lineout.operators import bayes, evaluate, features, models, reports, sampling
+from lineout.operators import bayes, evaluate, features, models, neighbours, reports, sampling
 from lineout.queries.registry import query, rounded
 from lineout.sources.write import materialise
 
@@ -232,3 +232,36 @@ def _(t):
     train, _, names = _scaled_parts(t)
     return models.tune_svm(
         train, names, label="hit", gammas=(0.5, 1.0), costs=(4.0,), folds=2, size=8, iterations=4)
+
+
+_NEAR = """train AS (SELECT row_key, hit_type, hit_angle, hit_speed, stand, home_team, fielding_team FROM split WHERE split = 'train'),
+ sd AS (SELECT stddev_samp(hit_angle) AS sa, stddev_samp(hit_speed) AS ss FROM train),
+ near AS (SELECT q.row_key, q.hit_type, min({'d': pow((q.hit_angle - t.hit_angle) / sa, 2) + pow((q.hit_speed - t.hit_speed) / ss, 2)
+   + CASE WHEN q.stand IS NOT DISTINCT FROM t.stand THEN 0e0 ELSE 0.05e0 END
+   + CASE WHEN q.home_team IS NOT DISTINCT FROM t.home_team THEN 0e0 ELSE 0.05e0 END
+   + CASE WHEN q.fielding_team IS NOT DISTINCT FROM t.fielding_team THEN 0e0 ELSE 0.05e0 END,
+   'k': t.row_key, 'c': t.hit_type}, 5) AS five
+  FROM split q, train t, sd WHERE q.split <> 'train' GROUP BY q.row_key, q.hit_type)"""
+
+
+def _neighbours(t) -> DataFrame:
+    train, rest = _parts(t, ())
+    return neighbours.nearest(train, rest, ("hit_angle", "hit_speed"), ("stand", "home_team", "fielding_team"))
+
+
+@query("c14_nearest_neighbours", f"""
+WITH {_NEAR} SELECT row_key, list_transform(five, lambda x: x.k)[1] AS first, list_aggregate(list_transform(five, lambda x: x.k), 'string_agg', '|') AS keys,
+ round(five[5].d, 6) AS reach FROM near""")
+def _(t):
+    keys = F.transform("neighbours", lambda x: x["key"])
+    return rounded(_neighbours(t).select(
+        "row_key", keys[0].alias("first"), F.array_join(keys, "|").alias("keys"), F.col("neighbours")[4]["distance"].alias("reach")), "reach")
+
+
+@query("c14_neighbour_vote", f"""
+WITH {_NEAR},
+ each AS (SELECT row_key, hit_type, unnest(five).c AS c, generate_subscripts(five, 1) AS place FROM near),
+ votes AS (SELECT row_key, hit_type, c, count(*) AS n, min(place) AS place FROM each GROUP BY ALL)
+SELECT row_key, hit_type, arg_max(c, {{'n': n, 'p': -place}}) AS fit, CAST(max(n) AS INTEGER) AS votes FROM votes GROUP BY row_key, hit_type""")
+def _(t):
+    return neighbours.vote(_neighbours(t)).select("row_key", "hit_type", "fit", "votes")
