@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineout import schema as S
-from lineout.operators import bayes, evaluate, features, models, neighbours, reports, sampling
+from lineout.operators import additive, bayes, evaluate, features, models, neighbours, reports, sampling
 from lineout.queries.registry import query, rounded
 from lineout.sources.write import materialise
 
@@ -160,6 +160,49 @@ def _(t):
     return evaluate.metrics(models.predict_only(model, rest), by=["split"])
 
 
+_SMOOTHS = (additive.Smooth("hit_angle", -90.0, 90.0, 7), additive.Smooth("hit_speed", 20.0, 120.0, 7))
+
+
+@query("c10_additive_model")
+def _(t):
+    train, rest = _parts(t)
+    fit = additive.fit_logistic(train, "hit", _SMOOTHS, S.CATEGORIES)
+    fitted = additive.predict_logistic(fit, rest, "chance").withColumn("fit", (F.col("chance") > 0.5).cast("int"))
+    return evaluate.metrics(fitted.drop("p"), by=["split"])
+
+
+def _pieces_sql(at: str, pieces: int, rest: str = "t") -> str:
+    """Values of the cubic pieces over interval and position, written out once for all."""
+    arms = (f"pow(1 - {rest}, 3) / 6", f"(3 * pow({rest}, 3) - 6 * pow({rest}, 2) + 4) / 6",
+            f"(3 * pow(1 - {rest}, 3) - 6 * pow(1 - {rest}, 2) + 4) / 6", f"pow({rest}, 3) / 6")
+    return f"CASE {at} " + " ".join(f"WHEN {i} THEN {arm}" for i, arm in enumerate(arms)) + " ELSE 0e0 END"
+
+
+# One row per training row and column of the design: the constant, then ten pieces of each measure.
+_DESIGN = f"""held AS (SELECT row_key, hit, least(greatest(hit_angle, -90e0), 90e0) AS a, least(greatest(hit_speed, 20e0), 120e0) AS s
+  FROM split WHERE split = 'train'),
+ placed AS (SELECT row_key, hit, (a + 90) / (180e0 / 7) AS ua, (s - 20) / (100e0 / 7) AS us FROM held),
+ cut AS (SELECT row_key, hit, ua, us, least(floor(ua), 6) AS ka, least(floor(us), 6) AS ks FROM placed),
+ design AS (SELECT row_key, hit, 0 AS j, 1e0 AS x FROM cut
+  UNION ALL SELECT row_key, hit, 1 + j, {_pieces_sql('CAST(j - ka AS INTEGER)', 7, '(ua - ka)')} FROM cut, (SELECT unnest(range(10)) AS j)
+  UNION ALL SELECT row_key, hit, 11 + j, {_pieces_sql('CAST(j - ks AS INTEGER)', 7, '(us - ks)')} FROM cut, (SELECT unnest(range(10)) AS j))"""
+
+
+@query("c10_cross_products", f"""
+WITH {_DESIGN},
+ filled AS (SELECT row_key, hit, list(x ORDER BY j) AS x FROM design GROUP BY row_key, hit),
+ pairs AS (SELECT i, j, sum(x[i + 1] * x[j + 1]) AS value FROM filled, (SELECT unnest(range(21)) AS i), (SELECT unnest(range(21)) AS j)
+  WHERE i <= j GROUP BY i, j),
+ sides AS (SELECT j AS i, sum(x * hit) AS value FROM design GROUP BY j)
+SELECT CAST(i * 21 - i * (i - 1) // 2 + j - i AS INTEGER) AS place, round(value + 1e-9, 3) AS value FROM pairs
+UNION ALL SELECT CAST(231 + i AS INTEGER), round(value + 1e-9, 3) FROM sides""")
+def _(t):
+    train, _ = _parts(t, ())
+    design = additive.Design(_SMOOTHS)
+    sums = additive.cross_products(design.read(train, "hit"), design).filter(F.col("place") < 252)
+    return sums.select("place", F.round(F.col("value") + 1e-9, 3).alias("value"))
+
+
 _NUMERIC, _CATEGORICAL = ("hit_angle", "hit_speed"), ("stand", "home_team", "fielding_team")
 _BAYES = """train AS (SELECT * FROM split WHERE split = 'train'),
  moments AS (SELECT hit_type AS class, count(*) AS n, avg(hit_angle) AS ma, stddev_samp(hit_angle) AS sa,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lineout import schema as S
-from lineout.operators import clean, joins, reports, stats
+from lineout.operators import additive, clean, joins, reports, stats
 from lineout.queries.derived import ZONED
 from lineout.queries.evaluation import CALIBRATION, calibration
 from lineout.queries.registry import query, r6, rounded
@@ -141,6 +141,35 @@ def _(t):
     return rounded(stats.smooth_trend(t.pitches, "hit_angle", "px", 0.1, reach=5, by=["stand"]), "x", "smooth")
 
 
+_FACET_X = {"px": (-1.5, 1.5), "hit_angle": (-80, 80), "hit_speed": (90, None)}
+
+
+@query("t6_spline_band")
+def _(t):
+    rows = clean.within(t.pitches, _FACET_X)
+    return additive.smooth_band(rows, "hit_angle", "px", ["stand"])
+
+
+# The sums that the smooth of each facet is solved from: four pieces are above zero at a time.
+@query("t6_facet_cross_products", """
+WITH kept AS (SELECT stand, px, hit_angle AS y FROM pitches WHERE px BETWEEN -1.5 AND 1.5 AND hit_angle BETWEEN -80 AND 80 AND hit_speed >= 90),
+ cut AS (SELECT stand, y, (px + 1.5) / (3e0 / 5) AS u, least(floor((px + 1.5) / (3e0 / 5)), 4) AS k FROM kept),
+ pieces AS (SELECT stand, y, CAST(k AS INTEGER) AS k,
+  [pow(1 - (u - k), 3) / 6, (3 * pow(u - k, 3) - 6 * pow(u - k, 2) + 4) / 6, (3 * pow(1 - (u - k), 3) - 6 * pow(1 - (u - k), 2) + 4) / 6, pow(u - k, 3) / 6] AS b FROM cut),
+ cells AS (SELECT stand, k + i AS i, k + j AS j, sum(b[i + 1] * b[j + 1]) AS value FROM pieces, (SELECT unnest(range(4)) AS i), (SELECT unnest(range(4)) AS j)
+  WHERE i <= j GROUP BY ALL),
+ sides AS (SELECT stand, k + i AS i, sum(b[i + 1] * y) AS value FROM pieces, (SELECT unnest(range(4)) AS i) GROUP BY ALL)
+SELECT stand, CAST(i * 8 - i * (i - 1) // 2 + j - i AS INTEGER) AS place, round(value, 6) AS value FROM cells
+UNION ALL SELECT stand, CAST(36 + i AS INTEGER), round(value, 6) FROM sides
+UNION ALL SELECT stand, 44, round(sum(y * y), 6) FROM kept GROUP BY stand
+UNION ALL SELECT stand, 45, CAST(count(*) AS DOUBLE) FROM kept GROUP BY stand""")
+def _(t):
+    rows = clean.within(t.pitches, _FACET_X)
+    design = additive.Design((additive.Smooth("px", -1.5, 1.5, 5),), constant=False)
+    sums = additive.cross_products(design.read(rows, "hit_angle", ["stand"]), design, ["stand"])
+    return rounded(sums.filter((F.col("value") != 0) & (F.col("place") < 46)), "value")
+
+
 @query("t7_box_summary", f"""
 WITH {ZONED},
  q AS (SELECT stand, location, CAST(count(*) AS BIGINT) AS n, quantile_cont(hit_angle, 0.25) AS q1,
