@@ -14,6 +14,7 @@ from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -26,8 +27,8 @@ from lineout.llm.words import blocks
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LOOKAHEAD = 3  # a match of the pattern looks at fewer characters than this after its end
 MEMO = 1 << 19  # pieces and token pairs remembered in a task, then forgotten
-BATCH_TOKENS, BLOCK_BYTES = 1 << 20, 1 << 21
-MATCHES = 1 << 16
+BATCH_TOKENS, BLOCK_BYTES = 1 << 20, 1 << 22
+MATCHES, DECODED_ROWS = 1 << 16, 200
 SHORT = 64  # characters of the longest piece that is remembered
 ENDLESS = 1 << 40
 
@@ -68,17 +69,20 @@ class Vocabulary:
         self.known: dict[int, bool] = {}  # for pairs asked before, whether they stay apart
         self._pieces = _Remembered(self)
 
-    def _backwards(self) -> tuple[dict[int, int], list[int]]:
-        """A tree of the tokens read from their last byte: child by (node, byte), and the token at each node or -1."""
-        back, ending = {}, [-1]
+    def _backwards(self) -> tuple[dict[int, int], list[tuple[tuple[int, int], ...]]]:
+        """A tree of the tokens read from their last byte: child by (node, byte), and for each node
+        the tokens on the way to it as (length, token), the longest first."""
+        back, at_node = {}, {}
         for token, rank in self.made.items():
             node = 0
             for byte in reversed(token):
                 key = node << 8 | byte
-                node = back.get(key) or back.setdefault(key, len(ending))
-                if node == len(ending):
-                    ending.append(-1)
-            ending[node] = rank
+                node = back.setdefault(key, len(back) + 1)
+            at_node[node] = (len(token), rank)
+        ending = [()]
+        for key, node in back.items():  # a node comes after the one it hangs on
+            above = ending[key >> 8]
+            ending.append((at_node[node], *above) if node in at_node else above)
         return back, ending
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
@@ -109,7 +113,7 @@ class Vocabulary:
     def learn(self, pieces: Iterable[str]) -> None:
         """Encode and remember pieces not met before. In sorted order each goes on from the
         prefix that it shares with the one before."""
-        new = sorted({p for p in pieces if p not in self._pieces and len(p) <= SHORT})
+        new = sorted(p for p in set(pieces) if p not in self._pieces and len(p) <= SHORT)
         if len(self._pieces) + len(new) > MEMO:
             self._pieces.clear()
         held = Prefixes(self)
@@ -125,13 +129,13 @@ class Vocabulary:
         return [whole] if whole is not None else Prefixes(self, data).ids()
 
     def encode_pieces(self, pieces: list[str]) -> array:
-        self.learn(pieces)
         return array("i", chain.from_iterable(map(self._pieces.__getitem__, pieces)))
 
     def encode(self, text: str, pattern: regex.Pattern) -> array:
         """Ids of a text, in runs of matches, so that a long text is never held piece by piece."""
         found, ids = pattern.finditer(text), array("i")
         while pieces := [m.group() for m in islice(found, MATCHES)]:
+            self.learn(pieces)
             ids += self.encode_pieces(pieces)
         return ids
 
@@ -156,32 +160,31 @@ class Prefixes:
         self.vocabulary, self.data, self.last = vocabulary, bytearray(), array("i")
         self.append(data)
 
-    def _token_at(self, end: int) -> int:
-        """The only token that can end the encoding of the first ``end`` bytes."""
+    def _go_on(self, until: int) -> None:
+        """Find the only token that can end the encoding of each prefix up to ``until`` bytes."""
         vocabulary, data, last = self.vocabulary, self.data, self.last
-        back, ending, node, at, found = vocabulary.back, vocabulary.ending, 0, end, []
-        while at:
-            node = back.get(node << 8 | data[at - 1])
-            if node is None:
-                break
-            at -= 1
-            if ending[node] >= 0:
-                found.append((at, ending[node]))
-        known = vocabulary.known
-        for before, token in reversed(found):
-            if before == 0:
-                return token
-            fits = known.get(last[before - 1] << 32 | token)
-            if fits or (fits is None and vocabulary.apart(last[before - 1], token)):
-                return token
-        raise ValueError("the vocabulary lacks a single byte")
+        back, ending, known = vocabulary.back, vocabulary.ending, vocabulary.known
+        for end in range(len(last) + 1, until + 1):
+            node, at = 0, end - 1
+            while at >= 0:
+                deeper = back.get(node << 8 | data[at])
+                if deeper is None:
+                    break
+                node, at = deeper, at - 1
+            for length, token in ending[node]:
+                if length == end:
+                    break
+                pair = last[end - length - 1] << 32 | token
+                if known[pair] if pair in known else vocabulary.apart(pair >> 32, token):
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a single byte")
+            last.append(token)
 
     def append(self, data: bytes) -> None:
         """Add bytes; what is stored stays as it is."""
-        begin = len(self.data)
         self.data += data
-        for end in range(begin + 1, len(self.data) + 1):
-            self.last.append(self._token_at(end))
+        self._go_on(len(self.data))
 
     def replace(self, data: bytes) -> "Prefixes":
         """Go over to other bytes, keeping what is stored for the prefix they share."""
@@ -205,9 +208,8 @@ class Prefixes:
             if agreed == self.vocabulary.longest:
                 self.last += old[i:]
                 return len(data) + i
-            token = self._token_at(len(self.last) + 1)
-            agreed = agreed + 1 if token == old[i] else 0
-            self.last.append(token)
+            self._go_on(len(self.last) + 1)
+            agreed = agreed + 1 if self.last[-1] == old[i] else 0
         return len(data) + len(tail)
 
     def ids(self, end: int | None = None) -> list[int]:
@@ -259,18 +261,28 @@ def _shared(df: DataFrame, ranks: dict[bytes, int]):
     return df.sparkSession.sparkContext.broadcast((ranks, halves_of(ranks)))
 
 
-def _rows(batches: Iterator[tuple[pa.RecordBatch, Iterator]], column: str, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _rows(batch: pa.RecordBatch, column: str, values: Iterator, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Put each row's value in place of a column, in batches of a bounded number of values."""
-    for batch, values in batches:
-        others = [n for n in batch.schema.names if n != column]
-        begin, held, size = 0, [], 0
-        for row, value in enumerate(values):
-            held.append(value)
-            size += len(value)
-            if size >= BATCH_TOKENS or row + 1 == batch.num_rows:
-                kept = [batch.column(n).slice(begin, row + 1 - begin) for n in others]
-                yield pa.RecordBatch.from_arrays([pa.array(held, kind), *kept], ["made", *others])
-                begin, held, size = row + 1, [], 0
+    others = [n for n in batch.schema.names if n != column]
+    begin, held, size = 0, [], 0
+    for row, value in enumerate(values):
+        held.append(value)
+        size += len(value)
+        if size >= BATCH_TOKENS or row + 1 == batch.num_rows:
+            kept = [batch.column(n).slice(begin, row + 1 - begin) for n in others]
+            yield pa.RecordBatch.from_arrays([pa.array(held, kind), *kept], ["made", *others])
+            begin, held, size = row + 1, [], 0
+
+
+def joined_bytes(ids: pa.ListArray, tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.BinaryArray:
+    """Bytes of every list of ids, gathered at once from the tokens laid end to end."""
+    of_row = np.asarray(ids.value_lengths().fill_null(0), np.int64)
+    flat = np.asarray(ids.flatten(), np.int64)
+    sizes = lengths[flat]
+    ends = np.cumsum(sizes)
+    data = tokens[np.repeat(starts[flat] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+    cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(of_row)])].astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(cuts), pa.py_buffer(data)]).cast(pa.binary())
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, column: str = "text") -> DataFrame:
@@ -284,17 +296,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = public_token
     def run(batches):
         vocabulary, compiled = Vocabulary(*shared.value), regex.compile(pattern)
 
-        def encoded():
-            for block in blocks(batches, "_of", BLOCK_BYTES):
-                texts = [text or "" for text in block.column("_of").to_pylist()]
-                if block.nbytes > 2 * BLOCK_BYTES:
-                    yield block, (vocabulary.encode(text, compiled) for text in texts)
-                    continue
+        for block in blocks(batches, "_of", BLOCK_BYTES):
+            texts = [text or "" for text in block.column("_of").to_pylist()]
+            if block.nbytes > 2 * BLOCK_BYTES:
+                ids = (vocabulary.encode(text, compiled) for text in texts)
+            else:
                 pieces = [compiled.findall(text) for text in texts]
                 vocabulary.learn(chain.from_iterable(pieces))
-                yield block, map(vocabulary.encode_pieces, pieces)
-
-        yield from _rows(encoded(), "_of", pa.list_(pa.int32()))
+                ids = map(vocabulary.encode_pieces, pieces)
+            yield from _rows(block, "_of", ids, pa.list_(pa.int32()))
 
     others = [c for c in docs.columns if c not in (column, "ids")]
     source = docs.select(F.col(column).alias("_of"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(others)])
@@ -303,12 +313,19 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str = public_token
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """Bytes of every row's ``ids``, as ``decoded`` beside the other columns; null ids give no bytes."""
-    shared = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
+    bytes_of = {rank: token for token, rank in ranks.items()}
+    shared = encoded.sparkSession.sparkContext.broadcast([bytes_of.get(i, b"") for i in range(max(bytes_of, default=-1) + 1)])
 
     def run(batches):
-        bytes_of = shared.value.__getitem__
-        read = ((b, (b"".join(map(bytes_of, x.values.to_pylist() if x.is_valid else ())) for x in b.column("_of"))) for b in batches)
-        yield from _rows(read, "_of", pa.binary())
+        tokens = np.frombuffer(b"".join(shared.value), np.uint8)
+        lengths = np.array([len(t) for t in shared.value], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        for batch in batches:
+            for a in range(0, batch.num_rows, DECODED_ROWS):
+                some = batch.slice(a, DECODED_ROWS)
+                others = [n for n in some.schema.names if n != "_of"]
+                made = joined_bytes(some.column("_of"), tokens, starts, lengths)
+                yield pa.RecordBatch.from_arrays([made, *(some.column(n) for n in others)], ["made", *others])
 
     others = [c for c in encoded.columns if c != "decoded"]
     source = encoded.select(F.col("ids").alias("_of"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(others)])
