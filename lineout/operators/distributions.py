@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import cache
 
 import numpy as np
 
@@ -100,3 +101,52 @@ def tukey_quantile(p: float, groups: int, df: float) -> float:
         else:
             high = mid
     return (low + high) / 2
+
+
+# Tail of the studentised range at even steps of its width. Above LARGE degrees of
+# freedom it is read between the tails at LARGE and at infinity, in proportion to 1 / df.
+STEP, STEPS, LARGE = 0.02, 600, 120
+
+
+@cache
+def _normal_gaps(scales: tuple[float, ...]) -> np.ndarray:
+    """P(z < Z < z + width) at the nodes of z, for every step of width and every scale."""
+    z = 8.5 * _NODES
+    edge = 13.0 + STEP * STEPS * max(scales)
+    fine = np.linspace(-8.5, edge, 1 << 16)
+    cdf = 0.5 * (1.0 + np.array([math.erf(v / math.sqrt(2.0)) for v in fine]))
+    widths = np.outer(np.arange(STEPS + 1) * STEP, scales)
+    return np.clip(np.interp(z + widths[..., None], fine, cdf) - np.interp(z, fine, cdf), 0.0, 1.0)
+
+
+@cache
+def range_tails(groups: int, df: float | None) -> tuple[float, ...]:
+    """P(studentised range > i * STEP) for i = 0..STEPS; ``df`` None stands for infinity."""
+    scales, mass = (1.0,), np.ones(1)
+    if df is not None:
+        spread = 8.0 / math.sqrt(2.0 * df)
+        low, high = max(1e-6, 1.0 - spread), 1.0 + spread
+        nodes, weights = np.polynomial.legendre.leggauss(48)
+        s = (high - low) / 2 * nodes + (high + low) / 2
+        mass = np.exp(math.log(2.0) + df / 2 * math.log(df / 2) - math.lgamma(df / 2) + (df - 1) * np.log(s) - df * s * s / 2) * weights
+        scales = tuple(s.tolist())
+    z = 8.5 * _NODES
+    density = 8.5 * _WEIGHTS * np.exp(-0.5 * z * z) / math.sqrt(2.0 * math.pi)
+    inside = groups * (_normal_gaps(scales) ** (groups - 1) @ density)
+    tails = np.clip(1.0 - inside @ mass / mass.sum(), 0.0, 1.0)
+    tails[0] = 1.0
+    return tuple(np.minimum.accumulate(tails).tolist())
+
+
+def tails_at(groups: int, df: float) -> list[float]:
+    """The tails for given degrees of freedom."""
+    if df < LARGE:
+        return list(range_tails(groups, float(df)))
+    share = LARGE / df
+    return [a + (b - a) * share for a, b in zip(range_tails(groups, None), range_tails(groups, float(LARGE)))]
+
+
+def width_at(tails: list[float], level: float) -> float:
+    """The width that is exceeded with probability 1 - level."""
+    i = next(i for i, tail in enumerate(tails) if tail <= 1 - level)
+    return STEP * (i - (1 - level - tails[i]) / (tails[i - 1] - tails[i]))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lineout.operators import distributions as P
 from lineout.operators.joins import null_safe_join
 from lineout.operators.running import running_totals
+from lineout.sources.write import materialise
 
 
 def linear_fit(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFrame:
@@ -77,11 +78,6 @@ def main_effect(df: DataFrame, y: str, factor: str) -> DataFrame:
     )
 
 
-def _dummies(values: list) -> np.ndarray:
-    levels = sorted(set(values), key=str)
-    return np.array([[v == level for level in levels] for v in values], dtype=float)
-
-
 def _additional_ss(cells: DataFrame, small: str, large: str) -> tuple[float, int]:
     """Explained sum of squares, and its degrees of freedom, of ``small`` after ``large``.
 
@@ -151,48 +147,48 @@ def anova_two_way(df: DataFrame, y: str, a: str, b: str) -> DataFrame:
     )
 
 
-def mean_differences(means: DataFrame, level: str) -> DataFrame:
-    """Difference of means for each pair of levels, from a table of level means.
+PAIR_BLOCKS = 8
+
 
-    The pairs come from one sorted list of levels, never from data rows.
+def _pairs(means: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """All pairs of levels of a term, the later one first, from rows (by..., level, n, mean).
+
+    Levels fall into blocks by hash, and every pair of blocks is one join key, so that
+    the pairs of one term, which are the result, are made in many tasks.
     """
-    levels = means.select(F.col(level).alias("level"), "n", "mean")
-    listed = levels.agg(F.sort_array(F.collect_list(F.struct("level", "n", "mean"))).alias("all"))
-    return listed.select(F.posexplode("all").alias("i", "lo"), "all").select(
-        "lo", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("hi"),
-    ).select(
-        F.col("hi.level").alias("level_1"), F.col("lo.level").alias("level_2"),
-        (F.col("hi.mean") - F.col("lo.mean")).alias("diff"),
-        F.col("hi.n").alias("n_1"), F.col("lo.n").alias("n_2"),
+    every = F.explode(F.sequence(F.lit(0), F.lit(PAIR_BLOCKS - 1)))
+    block = F.pmod(F.xxhash64("level"), F.lit(PAIR_BLOCKS)).cast("int")
+    side = lambda i, own, other: means.select(
+        *by, F.col("level").alias(f"level_{i}"), F.col("n").alias(f"n_{i}"), F.col("mean").alias(f"mean_{i}"), block.alias(own), every.alias(other),
     )
+    both = side(1, "_b1", "_b2").join(side(2, "_b2", "_b1"), [*by, "_b1", "_b2"])
+    return both.filter(F.col("level_1") > F.col("level_2")).drop("_b1", "_b2").withColumn("diff", F.col("mean_1") - F.col("mean_2"))
+
 
+def mean_differences(means: DataFrame, level: str) -> DataFrame:
+    """Difference of means for each pair of levels, from a table of level means."""
+    named = materialise(means.select(F.col(level).alias("level"), "n", "mean"))
+    return _pairs(named).select("level_1", "level_2", "diff", "n_1", "n_2")
 
-def _adjusted_means(rows, y_mean: float, a: str, b: str) -> list[tuple]:
-    """Mean per level of each term: main effects after the terms before them, then cells."""
-    n = np.array([r["n"] for r in rows], dtype=float)
-    mean = np.array([r["mean"] for r in rows], dtype=float) - y_mean
-    one = np.ones((len(rows), 1))
-    first, second = _dummies([r[a] for r in rows]), _dummies([r[b] for r in rows])
-    root = np.sqrt(n)[:, None]
-
-    def fit(design):
-        return design @ np.linalg.lstsq(design * root, mean * root[:, 0], rcond=None)[0]
-
-    by_a = fit(np.hstack([one, first]))
-    by_ab = fit(np.hstack([one, first, second]))
-    parts = []
-    for term, effect, key in (
-        (a, by_a, lambda r: str(r[a])),
-        (b, by_ab - by_a, lambda r: str(r[b])),
-        (f"{a}:{b}", mean, lambda r: f"{r[a]}:{r[b]}"),
-    ):
-        totals: dict[str, list[float]] = {}
-        for row, weight, value in zip(rows, n, effect):
-            cell = totals.setdefault(key(row), [0.0, 0.0])
-            cell[0] += weight
-            cell[1] += weight * value
-        parts += [(term, level, w, s / w + y_mean) for level, (w, s) in totals.items()]
-    return parts
+
+def term_means(cells: DataFrame, a: str, b: str) -> DataFrame:
+    """Mean per level of each term of a two-way model: (term, level, n, mean).
+
+    A main effect is taken after the terms before it, the interaction compares cells. The
+    least-squares fit of both main effects keeps the means of every level, so the second
+    effect is its levels' means less what the first effect's means give there.
+    """
+    grand = cells.agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("g")).scalar()
+    mean = F.sum(F.col("n") * F.col("mean")) / F.sum("n")
+    first = cells.groupBy(a).agg(F.sum("n").alias("n"), mean.alias("mean"))
+    beside = cells.join(first.select(a, F.col("mean").alias("_given")), a)
+    second = beside.groupBy(b).agg(F.sum("n").alias("n"), (mean - F.sum(F.col("n") * F.col("_given")) / F.sum("n")).alias("_after"))
+    text = lambda c: F.col(c).cast("string")
+    return (
+        first.select(F.lit(a).alias("term"), text(a).alias("level"), "n", "mean")
+        .unionByName(second.select(F.lit(b).alias("term"), text(b).alias("level"), "n", (F.col("_after") + grand).alias("mean")))
+        .unionByName(cells.select(F.lit(f"{a}:{b}").alias("term"), F.concat_ws(":", text(a), text(b)).alias("level"), "n", "mean"))
+    )
 
 
 def tukey_pairs(
@@ -200,32 +196,32 @@ def tukey_pairs(
 ) -> DataFrame:
     """Honest significant differences of a two-way model with interaction.
 
-    A main effect compares level means taken after the terms before it, the
-    interaction compares cell means. Each pair gets a Tukey-Kramer interval and
-    an adjusted p-value.
+    Each pair of levels of a term (see ``term_means``) gets a Tukey-Kramer interval and an
+    adjusted p-value, read from the tail of the studentised range at even steps. The driver
+    gets one row of totals; levels and pairs stay in Spark. Rows without y or a factor take
+    no part; without residual degrees of freedom intervals and p-values are null.
     """
-    rows = cell_moments(df, y, [a, b]).collect()  # a row per cell, as each pair of cells is a row of the result
-    n = sum(r["n"] for r in rows)
-    grand = sum(r["n"] * r["mean"] for r in rows) / n
-    dof = n - len(rows)
-    noise = sum(r["within"] for r in rows) / dof
-    means = _adjusted_means(rows, grand, a, b)
-    out = []
-    for term in (a, b, f"{a}:{b}"):
-        levels = sorted([m for m in means if m[0] == term], key=lambda m: m[1])
-        if len(levels) < 2:
+    cells = materialise(cell_moments(df, y, [a, b]))
+    total = cells.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("cells"), F.sum("within").alias("within"),
+                      F.countDistinct(a).alias("a"), F.countDistinct(b).alias("b")).first()
+    dof = (total["n"] or 0) - total["cells"]
+    pairs = _pairs(materialise(term_means(cells, a, b)), ["term"])
+    noise = total["within"] / dof if dof > 0 else None
+    error = F.sqrt(F.lit(noise) / 2 * (1 / F.col("n_1") + 1 / F.col("n_2"))) if noise is not None else F.lit(None).cast("double")
+    width, p = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for term, groups in ((a, total["a"]), (b, total["b"]), (f"{a}:{b}", total["cells"])):
+        if noise is None or groups < 2:
             continue
-        width = P.tukey_quantile(level, len(levels), dof)
-        for i, low in enumerate(levels):
-            for high in levels[i + 1:]:
-                diff = float(high[3] - low[3])
-                error = float(np.sqrt(noise / 2 * (1 / high[2] + 1 / low[2])))
-                out.append((
-                    term, high[1], low[1], diff, diff - width * error, diff + width * error,
-                    P.tukey_upper(abs(diff) / error, len(levels), dof),
-                ))
-    return df.sparkSession.createDataFrame(
-        out, "term string, level_1 string, level_2 string, diff double, lower double, upper double, p_adj double",
+        tails = P.tails_at(groups, dof)
+        at = F.try_divide(F.abs(F.col("diff")), F.col("_error")) / P.STEP
+        step = F.least(F.floor(at), F.lit(P.STEPS - 1)).cast("int")
+        listed = F.array(*map(F.lit, tails))
+        low, high = F.get(listed, step), F.get(listed, step + 1)
+        width = F.when(F.col("term") == term, P.width_at(tails, level)).otherwise(width)
+        p = F.when(F.col("term") == term, low + (high - low) * F.least(at - step, F.lit(1.0))).otherwise(p)
+    held = pairs.withColumn("_error", error).withColumn("_reach", width * F.col("_error"))
+    return held.select(
+        "term", "level_1", "level_2", "diff", (F.col("diff") - F.col("_reach")).alias("lower"), (F.col("diff") + F.col("_reach")).alias("upper"), p.alias("p_adj"),
     )
 
 

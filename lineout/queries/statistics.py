@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lineout import schema as S
 from lineout.operators import additive, clean, joins, reports, stats
+from lineout.operators import distributions as P
 from lineout.queries.derived import ZONED
 from lineout.queries.evaluation import CALIBRATION, calibration
 from lineout.queries.registry import query, r6, rounded
@@ -91,9 +92,49 @@ def _(t):
     return _anova(_zoned(t), "location")
 
 
-@query("t4_tukey_velocity")
+def _tukey_sql(table: str, b: str, compared: tuple[int, ...]) -> str:
+    """Pairs of levels in SQL, with the tails of the studentised range written out.
+
+    The number of levels is counted from the data, so a table of tails is given for every
+    number in ``compared``.
+    """
+    tails = ", ".join(
+        f"({g}, [{', '.join(f'{v:.17g}' for v in P.range_tails(g, None))}], [{', '.join(f'{v:.17g}' for v in P.range_tails(g, float(P.LARGE)))}])" for g in compared
+    )
+    return f"""tails AS (SELECT * FROM (VALUES {tails}) AS t(g, far, near)),
+ cells AS (SELECT stand AS a, {b} AS b, count(*) AS n, avg(hit_angle) AS mean, var_pop(hit_angle) * count(*) AS w FROM {table}
+  WHERE hit_angle IS NOT NULL AND stand IS NOT NULL AND {b} IS NOT NULL GROUP BY ALL),
+ total AS (SELECT sum(n) - count(*) AS dof, sum(w) / (sum(n) - count(*)) AS noise, sum(n * mean) / sum(n) AS grand FROM cells),
+ first AS (SELECT a, sum(n) AS n, sum(n * mean) / sum(n) AS mean FROM cells GROUP BY a),
+ means AS (SELECT 'stand' AS term, a AS level, n, mean FROM first
+  UNION ALL SELECT '{b}', b, sum(cells.n), (SELECT grand FROM total) + sum(cells.n * (cells.mean - first.mean)) / sum(cells.n)
+   FROM cells JOIN first USING (a) GROUP BY b
+  UNION ALL SELECT 'stand:{b}', a || ':' || b, n, mean FROM cells),
+ sized AS (SELECT *, count(*) OVER (PARTITION BY term) AS g FROM means),
+ pairs AS (SELECT x.term, x.g, x.level AS level_1, y.level AS level_2, x.mean - y.mean AS diff, sqrt(noise / 2 * (1e0 / x.n + 1e0 / y.n)) AS error, dof
+  FROM sized x JOIN sized y ON x.term = y.term AND x.level > y.level, total),
+ used AS (SELECT DISTINCT g, dof FROM pairs),
+ steps AS (SELECT g, generate_subscripts(far, 1) - 1 AS i, unnest(far) + (unnest(near) - unnest(far)) * {P.LARGE} / dof AS tail FROM tails JOIN used USING (g)),
+ next AS (SELECT *, lag(tail) OVER (PARTITION BY g ORDER BY i) AS before, lead(tail) OVER (PARTITION BY g ORDER BY i) AS after FROM steps),
+ width AS (SELECT g, arg_min({P.STEP} * (i - (0.05e0 - tail) / (before - tail)), i) AS width FROM next WHERE tail <= 0.05e0 GROUP BY g),
+ placed AS (SELECT pairs.*, abs(diff) / error / {P.STEP} AS spot, least(floor(abs(diff) / error / {P.STEP}), {P.STEPS - 1}) AS step FROM pairs)
+SELECT term, level_1, level_2, round(diff, 6) AS diff, round(diff - width * error, 6) AS lower, round(diff + width * error, 6) AS upper,
+ round(tail + (after - tail) * least(spot - step, 1e0), 6) AS p_adj
+FROM placed JOIN width USING (g) JOIN next ON next.g = placed.g AND next.i = placed.step"""
+
+
+def _tukey(df, b: str):
+    return rounded(stats.tukey_pairs(df, "hit_angle", "stand", b), "diff", "lower", "upper", "p_adj")
+
+
+@query("t4_tukey_velocity", "WITH " + _tukey_sql("pitches", "velocity_range", (2, 5, 6, 7, 11, 12, 13, 14)))
+def _(t):
+    return _tukey(t.pitches, "velocity_range")
+
+
+@query("t4_tukey_location", f"WITH {ZONED}, " + _tukey_sql("zoned", "location", (2, *range(4, 23))))
 def _(t):
-    return stats.tukey_pairs(t.pitches, "hit_angle", "stand", "velocity_range")
+    return _tukey(_zoned(t), "location")
 
 
 @query("t4_mean_differences", """

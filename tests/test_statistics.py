@@ -102,12 +102,51 @@ def test_tukey_pairs_on_a_balanced_design(spark):
     df = spark.createDataFrame(rows, "a string, b string, y double")
     table = stats.tukey_pairs(df, "y", "a", "b").collect()
     assert len(table) == 1 + 3 + 15
-    first = table[0]
+    first = next(r for r in table if r["term"] == "a")
     mean = {g: np.mean([r[2] for r in rows if r[0] == g]) for g in "ab"}
     assert first["diff"] == pytest.approx(mean["b"] - mean["a"])
     assert first["lower"] < first["diff"] < first["upper"] and first["p_adj"] < 1e-6
 
 
+def test_tukey_pairs_of_uneven_cells_follow_the_fit(spark):
+    rng = random.Random(3)
+    rows = [(a, b, rng.gauss(ord(a) + 2 * ord(b), 3)) for a in "abc" for b in "wxyz" for _ in range(rng.randint(3, 30))]
+    df = spark.createDataFrame(rows + [(None, "w", 1.0), ("a", "w", None)], "a string, b string, y double")
+    table = {(r["term"], r["level_1"], r["level_2"]): r for r in stats.tukey_pairs(df, "y", "a", "b").collect()}
+    assert len(table) == 3 + 6 + 66
+    y = np.array([r[2] for r in rows])
+    one = np.array([[1.0] + [float(r[0] == v) for v in "abc"] for r in rows])
+    both = np.hstack([one, np.array([[float(r[1] == v) for v in "wxyz"] for r in rows])])
+    fit = lambda x: x @ np.linalg.lstsq(x, y, rcond=None)[0]
+    second = fit(both) - fit(one)
+    cells = {}
+    for r in rows:
+        cells.setdefault(r[:2], []).append(r[2])
+    within, dof = sum(np.var(v) * len(v) for v in cells.values()), len(rows) - len(cells)
+    counts = {v: sum(r[1] == v for r in rows) for v in "wxyz"}
+    for high, low in (("x", "w"), ("z", "y"), ("z", "w")):
+        row = table["b", high, low]
+        diff = second[[r[1] == high for r in rows]].mean() - second[[r[1] == low for r in rows]].mean()
+        error = np.sqrt(within / dof / 2 * (1 / counts[high] + 1 / counts[low]))
+        assert row["diff"] == pytest.approx(diff)
+        assert row["upper"] - row["lower"] == pytest.approx(2 * P.tukey_quantile(0.95, 4, dof) * error, rel=1e-3)
+        assert row["p_adj"] == pytest.approx(P.tukey_upper(abs(diff) / error, 4, dof), abs=1e-3)
+    assert table["a:b", "c:z", "a:w"]["diff"] == pytest.approx(np.mean(cells["c", "z"]) - np.mean(cells["a", "w"]))
+
+
+def test_tukey_pairs_without_residuals_or_rows(spark):
+    df = spark.createDataFrame([("a", "x", 1.0), ("b", "y", 3.0)], "a string, b string, y double")
+    assert [(r["diff"], r["lower"], r["p_adj"]) for r in stats.tukey_pairs(df, "y", "a", "b").collect() if r["term"] == "a"] == [(2.0, None, None)]
+    assert stats.tukey_pairs(df.limit(0), "y", "a", "b").count() == 0
+
+
+@pytest.mark.parametrize("groups, df", [(2, 8), (3, 10), (7, 119), (7, 500), (14, 10_000)])
+def test_tails_read_from_even_steps(groups, df):
+    tails = P.tails_at(groups, df)
+    assert P.width_at(tails, 0.95) == pytest.approx(P.tukey_quantile(0.95, groups, df), abs=1e-3)
+    assert tails[150] == pytest.approx(P.tukey_upper(3.0, groups, df), abs=1e-4)
+
+
 def numpy_box(values):
     q1, median, q3 = np.quantile(values, [0.25, 0.5, 0.75])
     kept = [v for v in values if q1 - 1.5 * (q3 - q1) <= v <= q3 + 1.5 * (q3 - q1)]
