@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from lineout import schema as S
 from lineout.operators.features import index_levels, kernel_sql, spline_place_sql, spline_sql
+from lineout.sources.write import materialise
 
 # The five feature sets compared for the hit model, by name.
 FEATURE_SETS = {
@@ -42,6 +44,8 @@ BINS = 64  # split candidates; give more (max_bins) for a category with as many
 
 
 def _scaled(numeric: Sequence[str]) -> list:
+    if not numeric:
+        return []
     return [
         VectorAssembler(inputCols=list(numeric), outputCol="_measures"),
         StandardScaler(inputCol="_measures", outputCol="_scaled", withMean=True, withStd=True),
@@ -51,7 +55,7 @@ def _scaled(numeric: Sequence[str]) -> list:
 def _tree_features(numeric: Sequence[str], categorical: Sequence[str]) -> list:
     """Scaled measures next to category indexes; trees split categories directly."""
     indexers = [index_levels(c) for c in categorical]
-    parts = ["_scaled", *[f"{c}_index" for c in categorical]]
+    parts = [*(["_scaled"] if numeric else []), *[f"{c}_index" for c in categorical]]
     return [*_scaled(numeric), *indexers, VectorAssembler(inputCols=parts, outputCol="features")]
 
 
@@ -251,21 +255,33 @@ def cross_validate(
 
 def feature_count_error(
     df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), label: str = "hit",
-    folds: int = 5, **options,
+    folds: int = 5, key: str = "row_key", side_by_side: int = 4, **options,
 ) -> DataFrame:
-    """Cross-validated error as the least important features are dropped by halves."""
-    ranked = importance(forest(numeric, categorical, label, **options).fit(df), numeric, categorical, df.sparkSession)
-    order = [r["feature"] for r in ranked.orderBy(F.desc("importance"), "feature").collect()]
-    rows, size = [], len(order)
-    while size >= 1:
-        kept = order[:size]
-        pipeline = forest(
-            [c for c in numeric if c in kept] or [numeric[0]], [c for c in categorical if c in kept], label, **options,
-        )
-        result = cross_validate(df, pipeline, ParamGridBuilder().build(), label, folds)
-        rows.append((size, 1.0 - float(result.avgMetrics[0])))
-        size //= 2
-    return df.sparkSession.createDataFrame(rows, "features int, error double")
+    """Cross-validated error as the least important features are dropped by halves: (features, error).
+
+    Every fold ranks the features on its own training rows, so held-out rows never
+    choose them. Forests of different folds are fitted side by side.
+    """
+    rows = materialise(with_folds(df.select(key, label, *numeric, *categorical), folds, key))
+    width = len(numeric) + len(categorical)
+    sizes = [width // 2**i for i in range(width.bit_length()) if width // 2**i]
+
+    def fold_errors(fold: int) -> list[tuple[int, int, int]]:
+        train, held = rows.filter(F.col("_fold") != fold), rows.filter(F.col("_fold") == fold)
+        model, kept, found = forest(numeric, categorical, label, **options).fit(train), [*numeric, *categorical], []
+        ranks = dict(zip(kept, model.stages[-1].featureImportances.toArray()))
+        for size in sizes:
+            if size < len(kept):
+                kept = sorted(kept, key=lambda c: (-ranks[c], c))[:size]
+                model = forest([c for c in numeric if c in kept], [c for c in categorical if c in kept], label, **options).fit(train)
+            wrong = F.sum((F.col("prediction") != F.col(label)).cast("long"))
+            found.append((size, *model.transform(held).agg(F.coalesce(wrong, F.lit(0)), F.count(F.lit(1))).first()))
+        return found
+
+    with ThreadPool(side_by_side) as pool:
+        every = [row for found in pool.map(fold_errors, range(folds), chunksize=1) for row in found]
+    total = {size: [sum(r[i] for r in every if r[0] == size) for i in (1, 2)] for size in sizes}
+    return df.sparkSession.createDataFrame([(size, wrong / n) for size, (wrong, n) in total.items() if n], "features int, error double")
 
 
 def score_two_stage(hit_model: PipelineModel, type_model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -139,11 +139,8 @@ class Tables:
 
     @cached_property
     def split(self) -> DataFrame:
-        """Scored rows with a split label.
-
-        The split reads its input three times, so the joined rows are stored first.
-        """
-        return sampling.three_way_split(materialise(self.scored.select(*S.MODEL_COLUMNS, "p", "fit")))
+        """Scored rows with a split label, stored once for all that reads them."""
+        return materialise(sampling.three_way_split(self.scored.select(*S.MODEL_COLUMNS, "p", "fit")))
 
     @cached_property
     def pitches(self) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineout import schema as S
-from lineout.operators import additive, bayes, evaluate, features, models, neighbours, reports, sampling
+from lineout.operators import additive, bagging, bayes, evaluate, features, models, neighbours, reports, sampling
 from lineout.queries.registry import query, rounded
 from lineout.sources.write import materialise
 
@@ -21,8 +21,8 @@ SMALL = {"trees": 20, "depth": 6}
 
 
 def _parts(t, required=S.CATEGORIES) -> tuple[DataFrame, DataFrame]:
-    """Training and hold-out rows, from one stored copy of the split table."""
-    table = materialise(t.split.dropna(subset=list(required)))
+    """Training and hold-out rows of the stored split table."""
+    table = t.split.dropna(subset=list(required)) if required else t.split
     return table.filter(F.col("split") == "train"), sampling.out_of_training(table)
 
 
@@ -138,6 +138,73 @@ def _(t):
     return models.error_by_trees(train, rest, [5, 10, 20], *models.FEATURE_SETS["model 3"], depth=5)
 
 
+# As many trees as published, of bounded depth; ten share a bag and a fit, to stay within a minute or two here.
+BAGGED = {"trees": 501, "depth": 10, "per_bag": 10}
+
+
+@query("c7_oob_error_by_trees")
+def _(t):
+    train, _ = _parts(t)
+    numeric, categorical = models.FEATURE_SETS["model 3"]
+    return bagging.oob_error(bagging.fit_bagged(train, numeric, categorical, **BAGGED), train)
+
+
+@query("c7_bag_counts", f"""
+WITH e AS (SELECT list_value({', '.join(f"'{edge}'" for edge in bagging.bag_edges())}) AS edges),
+ drawn AS (SELECT tree, substr(md5('bag42|' || tree || '|' || row_key), 1, 8) AS h FROM split, (SELECT unnest([1, 2, 3, 4, 5]) AS tree) WHERE split = 'train'),
+ counted AS (SELECT tree, len(list_filter(edges, lambda edge: edge <= h)) AS n FROM drawn, e)
+SELECT CAST(tree AS INTEGER) AS tree, CAST(n AS INTEGER) AS n, CAST(count(*) AS BIGINT) AS rows FROM counted GROUP BY tree, n""")
+def _(t):
+    train = t.split.filter(F.col("split") == "train").select("row_key", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("tree"))
+    return train.select("tree", bagging.bag_count("row_key", F.col("tree")).alias("n")).groupBy("tree", "n").agg(F.count(F.lit(1)).alias("rows"))
+
+
+# Five threshold rules stand for trees, so that votes, shares and running errors have SQL.
+_RULES = ("hit_speed > 70", "hit_angle BETWEEN -10 AND 35", "hit_distance_sc > 150", "hit_speed > 95", "stand = 'L'")
+_RULE_VOTES = f"voted AS (SELECT row_key, hit, [{', '.join(f'CAST({r} AS INTEGER)' for r in _RULES)}] AS votes FROM split WHERE split = 'train')"
+
+
+def _rule_votes(t) -> DataFrame:
+    train = t.split.filter(F.col("split") == "train")
+    return train.select("row_key", "hit", F.array(*[F.expr(rule).cast("int") for rule in _RULES]).alias("votes"))
+
+
+@query("c5_shares_of_votes", f"""
+WITH {_RULE_VOTES}
+SELECT row_key, len(list_filter(votes, lambda v: v = 0)) / 5e0 AS out_share, len(list_filter(votes, lambda v: v = 1)) / 5e0 AS hit_share FROM voted""")
+def _(t):
+    share = bagging.shares("votes", 2)
+    return _rule_votes(t).select("row_key", share[0].alias("out_share"), share[1].alias("hit_share"))
+
+
+@query("c7_running_errors", f"""
+WITH {_RULE_VOTES},
+ e AS (SELECT list_value({', '.join(f"'{edge}'" for edge in bagging.bag_edges())}) AS edges),
+ each AS (SELECT row_key, hit, unnest(votes) AS vote, generate_subscripts(votes, 1) AS tree FROM voted),
+ outside AS (SELECT row_key, hit, tree, CASE WHEN substr(md5('bag42|' || tree || '|' || row_key), 1, 8) < edges[1] THEN vote END AS vote FROM each, e),
+ counted AS (SELECT *, coalesce(sum(vote) OVER w, 0) AS ones, count(vote) OVER w AS n FROM outside WINDOW w AS (PARTITION BY row_key ORDER BY tree))
+SELECT CAST(tree AS INTEGER) AS trees, CAST(count(*) AS BIGINT) AS rows,
+ round(avg(CASE WHEN CAST(2 * ones > n AS INTEGER) <> hit THEN 1e0 ELSE 0e0 END), 6) AS error FROM counted WHERE n > 0 GROUP BY tree""")
+def _(t):
+    outside = bagging.out_of_bag(_rule_votes(t), "row_key", "hit")
+    return rounded(bagging.running_errors(outside, "row_key", "hit", 2), "error")
+
+
+@query("c5_vote_shares")
+def _(t):
+    train, rest = _parts(t)
+    model = bagging.fit_bagged(train, *models.TYPE_FEATURES, "hit_type", trees=101, depth=10, per_bag=3)
+    return bagging.score_shares(model, rest).select("row_key", "fit", "fit_probabilities")
+
+
+@query("c6_oob_importance")
+def _(t):
+    train, _ = _parts(t)
+    numeric, categorical = models.FEATURE_SETS["model 5"]
+    model = bagging.fit_bagged(train, numeric, categorical, trees=101, depth=10, mtry=2, per_bag=3)
+    return bagging.oob_importance(model, train, [*numeric, *categorical])
+
+
 @query("c8_tune_mtry")
 def _(t):
     train, rest = _parts(t)
@@ -147,7 +214,7 @@ def _(t):
 @query("c9_feature_count_error")
 def _(t):
     train, _ = _parts(t)
-    return models.feature_count_error(train, *models.FEATURE_SETS["model 3"], folds=3, trees=10, depth=4)
+    return models.feature_count_error(train, S.SCALED, folds=5, **SMALL)
 
 
 _RANGES = {"hit_angle": (-90.0, 90.0), "hit_speed": (20.0, 120.0)}

@@ -89,6 +89,15 @@ def test_searches_return_one_row_per_setting(balls):
     assert all(1 <= r["mtry"] <= 3 and 0 <= r["error"] <= 1 for r in tuned)
 
 
+def test_held_out_rows_do_not_choose_features(spark):
+    rng = random.Random(5)
+    noise = [f"n{i}" for i in range(24)]
+    rows = [(f"k{i}", rng.randint(0, 1), *[rng.random() for _ in noise]) for i in range(90)]
+    df = spark.createDataFrame(rows, "row_key string, hit int, " + ", ".join(f"{c} double" for c in noise))
+    errors = {r["features"]: r["error"] for r in models.feature_count_error(df, noise, folds=3, trees=8, depth=3).collect()}
+    assert sorted(errors) == [1, 3, 6, 12, 24] and sum(errors.values()) / 5 > 0.4  # noise: half of the rows
+
+
 def test_spline_basis_sums_to_one_and_is_held_outside(spark):
     df = spark.range(-20, 121).select((F.col("id") / 1.0).alias("v"))
     place = features.spline_place_sql("v", 0, 100, 8)
