@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import islice
 
 import numpy as np
@@ -39,7 +40,7 @@ OUT_ROWS = 1 << 16
 CHUNKS = "chunk long, langs array<string>, words array<string>, counts array<long>, numbers binary"
 # Whether a phrase begins at each place (bits), the phrases there as numbers into ``ids``.
 RELATION = "chunk long, n long, places binary, phrases binary, ids array<long>"
-GROUPS = "chunk long, phrase int, left long, right long, n long"
+GROUPS = "own long, left long, right long, n long"  # own: chunk and phrase in one number
 
 
 class _Numbers(dict):
@@ -112,8 +113,8 @@ class _Buckets:
 
     def beside(self, relation: DataFrame, kept: DataFrame) -> DataFrame:
         """Each chunk with its frequent phrases; the relation stays where it is."""
-        listed = kept.select("chunk", F.struct("phrase", "id").alias("x")).repartition(self.count, "chunk")
-        return relation.join(listed.groupBy("chunk").agg(F.collect_list("x").alias("kept")), "chunk")
+        listed = kept.select("chunk", "phrase", "id").repartition(self.count, "chunk")
+        return relation.join(listed.groupBy("chunk").agg(F.collect_list(F.struct("phrase", "id")).alias("kept")), "chunk")
 
     def drop(self) -> None:
         for name, path in self.made:
@@ -123,6 +124,18 @@ class _Buckets:
         self.made = []
 
 
+@contextmanager
+def _chunk_by_chunk(spark):
+    """Hand chunks to the workers one at a time: a chunk is large, and a batch of rows would hold many."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 1)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _places(row: dict) -> np.ndarray:
     """The phrase at every place of a stored relation, -1 for none."""
     full = np.full(row["n"], -1, np.int64)
@@ -189,8 +202,8 @@ def _group_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         _, _, codes, counts = _longer(_places(row), len(ids))
         for a in range(0, len(codes), OUT_ROWS):
             some, n = codes[a : a + OUT_ROWS], counts[a : a + OUT_ROWS]
-            columns = [np.full(len(some), row["chunk"]), np.arange(a, a + len(some), dtype=np.int32), ids[some // len(ids)], ids[some % len(ids)], n]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["chunk", "phrase", "left", "right", "n"])
+            columns = [(row["chunk"] << PHRASE_BITS) + np.arange(a, a + len(some)), ids[some // len(ids)], ids[some % len(ids)], n]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["own", "left", "right", "n"])
 
 
 def _counted(groups: DataFrame, keys: list[str], least: int) -> DataFrame:
@@ -198,12 +211,12 @@ def _counted(groups: DataFrame, keys: list[str], least: int) -> DataFrame:
 
     A phrase's id is the least (chunk, phrase) that it has. A key meets once per chunk.
     """
-    own = F.shiftleft("chunk", PHRASE_BITS).bitwiseOR(F.col("phrase").cast("long"))
     same = W.partitionBy(*keys)
-    summed = groups.withColumn("own", own).withColumns({"a": F.sum("n").over(same), "id": F.min("own").over(same)})
+    summed = groups.withColumns({"a": F.sum("n").over(same), "id": F.min("own").over(same)})
     first = F.col("own") == F.col("id")
+    chunk, phrase = F.shiftright("own", PHRASE_BITS), F.col("own").bitwiseAND((1 << PHRASE_BITS) - 1).cast("int")
     return stored(summed.filter(F.col("a") >= least).select(
-        "chunk", "phrase", "id", F.when(first, F.col("a")).alias("a"), *[F.when(first, F.col(k)).alias(k) for k in keys],
+        chunk.alias("chunk"), phrase.alias("phrase"), "id", F.when(first, F.col("a")).alias("a"), *[F.when(first, F.col(k)).alias(k) for k in keys],
     ))
 
 
@@ -249,16 +262,22 @@ def collocations(
     buckets = _Buckets(docs.sparkSession)
     chunks = buckets.stored(map_arrow(docs.select("lang", "text"), _chunks, CHUNKS))
     listed = chunks.select("chunk", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("phrase", "x"))
-    words = listed.select("chunk", "phrase", F.col("x.langs").alias("lang"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
+    own = F.shiftleft("chunk", PHRASE_BITS).bitwiseOR(F.col("phrase").cast("long"))
+    words = listed.select(own.alias("own"), F.col("x.langs").alias("lang"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     totals = stored(words.groupBy("lang").agg(F.sum("n").alias("n")))
     kept = _counted(words, ["lang", "word"], least)
     levels = [_phrases(kept, None)]
-    relation = buckets.stored(map_arrow(buckets.beside(chunks.select("chunk", "numbers"), kept), _keep_words, RELATION))
-    for length in range(2, most_words + 1):
-        kept = _counted(map_arrow(relation, _group_counts, GROUPS), ["left", "right"], least)
-        levels.append(_phrases(kept, levels[-1]))
-        if length < most_words:
-            relation = buckets.stored(map_arrow(buckets.beside(relation, kept), _keep_longer, RELATION))
+    with _chunk_by_chunk(docs.sparkSession):
+        relation = buckets.stored(map_arrow(buckets.beside(chunks.select("chunk", "numbers"), kept), _keep_words, RELATION))
+        for length in range(2, most_words + 1):
+            groups = map_arrow(relation, _group_counts, GROUPS)
+            if length == most_words:  # nothing is joined back any more
+                last = groups.groupBy("left", "right").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+                levels.append(_phrases(last.withColumn("id", F.lit(None).cast("long")), levels[-1]))
+            else:
+                kept = _counted(groups, ["left", "right"], least)
+                levels.append(_phrases(kept, levels[-1]))
+                relation = buckets.stored(map_arrow(buckets.beside(relation, kept), _keep_longer, RELATION))
     buckets.drop()
     scored = None
     for length, (phrases, longer) in enumerate(zip(levels, [*levels[1:], None]), 1):
