@@ -1,4 +1,4 @@
-"""Fitted models on small settings, and naive Bayes against SQL.
+"""Fitted models, most on small settings, and their tables against SQL.
 
 A forest has no SQL equivalent, so those queries have no SQL; each trains and
 scores on all cleaned rows and returns a small table of results.
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineout import schema as S
-from lineout.operators import additive, bagging, bayes, evaluate, features, models, neighbours, reports, sampling
+from lineout.operators import additive, bagging, bayes, evaluate, features, machines, models, neighbours, reports, sampling
 from lineout.queries.registry import query, rounded
 from lineout.sources.write import materialise
 
@@ -320,28 +320,36 @@ def _(t):
     return bayes.predict_naive_bayes(test, fitted, _NUMERIC, _CATEGORICAL).select("row_key", "hit_type", "fit")
 
 
-_SCALED = ("hit_angle", "hit_speed")
+_MACHINE = (("hit_angle", "hit_speed"), ("stand", "home_team", "fielding_team"))
 
 
-def _scaled_parts(t) -> tuple[DataFrame, DataFrame, list[str]]:
-    train, rest = _parts(t)
-    parameters = features.scale_parameters(train, _SCALED)
-    names = [f"{c}_z" for c in _SCALED]
-    return tuple(features.apply_scale(d, parameters, _SCALED, "_z") for d in (train, rest)) + (names,)
+@query("c12_kernel_svm")
+def _(t):
+    train, rest = _parts(t, ())
+    return reports.contingency(machines.predict(machines.fit(train, *_MACHINE), rest), "hit_type", "fit")
 
 
-@query("c12_kernel_svm")
+@query("c12_landmark_kernel", """
+WITH train AS (SELECT * FROM split WHERE split = 'train'),
+ sd AS (SELECT stddev_samp(hit_angle) AS sa, stddev_samp(hit_speed) AS ss FROM train),
+ marks AS (SELECT *, row_number() OVER (ORDER BY md5('landmark|' || row_key)) AS place FROM train QUALIFY place <= 32),
+ k AS (SELECT q.row_key, m.place, exp(-0.5e0 * (pow((q.hit_angle - m.hit_angle) / sa, 2) + pow((q.hit_speed - m.hit_speed) / ss, 2)
+   + CASE WHEN q.stand IS NOT DISTINCT FROM m.stand THEN 0e0 ELSE 2e0 END
+   + CASE WHEN q.home_team IS NOT DISTINCT FROM m.home_team THEN 0e0 ELSE 2e0 END
+   + CASE WHEN q.fielding_team IS NOT DISTINCT FROM m.fielding_team THEN 0e0 ELSE 2e0 END)) AS v FROM split q, marks m, sd)
+SELECT row_key, round(max(v) FILTER (place = 1), 6) AS first, round(max(v), 6) AS nearest, round(sum(v), 6) AS total FROM k GROUP BY row_key""")
 def _(t):
-    train, rest, names = _scaled_parts(t)
-    model = models.kernel_svm(names, S.CATEGORIES, size=16, iterations=8).fit(train)
-    return reports.contingency(models.predict_only(model, rest), "hit_type", "fit")
+    train, _ = _parts(t, ())
+    machine = machines.fit(train, *_MACHINE, gamma=0.5, landmarks=32, rounds=0)
+    total = F.aggregate("kernel", F.lit(0.0), lambda a, b: a + b)
+    rows = machines.landmark_kernel(machine, t.split)
+    return rounded(rows.select(
+        "row_key", F.col("kernel")[0].alias("first"), F.array_max("kernel").alias("nearest"), total.alias("total")), "first", "nearest", "total")
 
 
 @query("c13_tune_svm")
 def _(t):
-    train, _, names = _scaled_parts(t)
-    return models.tune_svm(
-        train, names, label="hit", gammas=(0.5, 1.0), costs=(4.0,), folds=2, size=8, iterations=4)
+    return machines.tune(_parts(t, ())[0], *_MACHINE, landmarks=64)
 
 
 _NEAR = """train AS (SELECT row_key, hit_type, hit_angle, hit_speed, stand, home_team, fielding_team FROM split WHERE split = 'train'),
