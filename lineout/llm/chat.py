@@ -16,8 +16,9 @@ from lineout.llm.common import map_arrow
 from lineout.llm.words import text_bytes
 
 # The template: one turn is "### role: text</turn>\n". In texts and roles a
-# backslash stands before every backslash, before a "#" that begins "###" and
-# before "</turn>"; in roles also before every ":".
+# backslash stands before every backslash, behind each "#" that begins "###" and
+# behind the "<" of "</turn>", so that neither string is left whole; in roles also
+# before every ":".
 HEAD, COLON, TAIL = b"### ", b": ", b"</turn>\n"
 TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n", re.S)
 ESCAPED = re.compile(r"\\(.)", re.S)
@@ -41,9 +42,11 @@ def _followed_by(data: np.ndarray, offsets: np.ndarray, mark: bytes) -> np.ndarr
 
 
 def escaped(column: pa.Array, extra: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts with a backslash before each control string, and the offset of each row."""
+    """Bytes of all texts with a backslash inside each control string, and the offset of each row."""
     data, offsets = text_bytes(column)
-    marks = (data == ord("\\")) | _followed_by(data, offsets, b"###") | _followed_by(data, offsets, b"</turn>")
+    marks = data == ord("\\")
+    for control in (b"###", b"</turn>"):
+        marks[1:] |= _followed_by(data, offsets, control)[:-1]
     for letter in extra:
         marks |= data == letter
     added = np.concatenate([[0], np.cumsum(marks)])

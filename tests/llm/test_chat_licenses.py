@@ -31,6 +31,8 @@ def test_round_trip_of_hostile_texts(spark):
     for conv, turns in want.items():
         row = got[conv]
         assert read_back(row.formatted) == turns and row.n_turns == len(turns)
+        # No text leaves a control string whole: those of the template are the only ones.
+        assert row.formatted.count("###") == row.formatted.count("</turn>") == len(turns)
         said = [ESCAPED.sub(r"\1", row.formatted[a:b]) for a, b in zip(row.loss_starts, row.loss_ends)]
         assert said == [text for role, text in turns if role == "assistant"]
 
