@@ -25,7 +25,7 @@ def _session_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/lineout-llm-{spark.sparkContext.applicationId}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, schema: T.StructType | None = None) -> DataFrame:
     """Write a stage to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read, and a stage that is
@@ -33,7 +33,7 @@ def stored(df: DataFrame) -> DataFrame:
     """
     path = f"{_session_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 
 def map_arrow(df: DataFrame, fn: Callable, schema: str | T.StructType) -> DataFrame:

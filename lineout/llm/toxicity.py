@@ -7,61 +7,76 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lineout.llm.common import fitting_ids, held_out, map_arrow, stored
-from lineout.llm.words import blocks, mixed, text_bytes
+from lineout.llm.words import BLOCK_BYTES, blocks, mixed, text_bytes
 
 ORDERS = (3, 4, 5)
 BITS = 18  # n-grams are hashed to 2 ** BITS features
-FEATURES = 1 << 10  # features with the largest ratios are kept
-LEAST_SEEN = 10  # documents of the sample in which a kept feature occurs
+EVIDENCE = 4.0  # standard deviations by which a feature's share of toxic documents must differ from the sample's
 FIT_ROWS = 4000  # labelled rows per class, at most
 PENALTY = 1e-3
-STEPS = 300
+STEPS = 50
 
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
+_NO_KEYS = np.zeros(0, np.int64)
 
 
 @dataclass
 class Model:
     """Score of a text: logistic(bias + sum of the weights of its distinct features)."""
 
-    weights: np.ndarray  # 2 ** BITS values, most of them 0
+    weights: np.ndarray  # 2 ** BITS values
     bias: float
 
 
-def _features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order, the feature at each byte position and the row it lies in."""
-    letters = _LOWER[data]
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    code = letters.copy()
+def _characters(data: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Characters that begin from ``start`` to ``end``, with those an n-gram needs behind them.
+
+    Returns a number for each (its bytes, A-Z lower-cased), its place, and how many begin before ``end``.
+    """
+    part = data[start : end + 4 * max(ORDERS)]
+    at = np.flatnonzero((part & 0xC0) != 0x80)
+    own = int(np.searchsorted(at, end - start))
+    at = at[: own + max(ORDERS) - 1]
+    letters, lead = np.append(_LOWER[part], np.zeros(3, np.uint64)), part[at]
+    code = letters[at]
+    for j, least in enumerate((0xC0, 0xE0, 0xF0), 1):
+        code |= np.where(lead >= least, letters[at + j] << np.uint64(8 * j), np.uint64(0))
+    return code, at + start, own
+
+
+def _keys(data: np.ndarray, offsets: np.ndarray, start: int, end: int) -> np.ndarray:
+    """(row, feature) of every n-gram that begins from ``start`` to ``end`` and ends in its row, as one number."""
+    letters, at, own = _characters(data, start, end)
+    row = np.searchsorted(offsets, at, side="right") - 1
+    code, found = letters, [_NO_KEYS]
     for n in range(2, max(ORDERS) + 1):
-        size = len(data) - n + 1
+        size = len(letters) - n + 1
         if size <= 0:
-            return
-        code = (code[:size] << np.uint64(8)) | letters[n - 1 :]
-        if n in ORDERS:  # codes of up to five bytes are told apart in full
-            inside = row[:size] == row[n - 1 :]
-            hashed = (mixed(code + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int64)
-            yield hashed[inside], row[:size][inside]
-
+            break
+        code = mixed(code[:size]) + letters[n - 1 :]
+        if n in ORDERS:
+            inside = (row[:size] == row[n - 1 :]) & (np.arange(size) < own)
+            hashed = (mixed(code[inside] + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int64)
+            found.append((row[:size][inside] << BITS) | hashed)
+    return np.unique(np.concatenate(found))
 
-def _distinct(feature: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key = np.unique((row << BITS) | feature)
-    return key & ((1 << BITS) - 1), key >> BITS
 
-
-def _row_features(batch: pa.RecordBatch, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (feature, row), of the wanted features only."""
-    found = list(_features(*text_bytes(batch.column("text"))))
-    if wanted is not None:
-        found = [(f[wanted[f]], r[wanted[f]]) for f, r in found]
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return _distinct(np.concatenate([f for f, _ in found]), np.concatenate([r for _, r in found]))
+def _row_features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (feature, row), in order of row and feature. A long text is read in slices."""
+    data, offsets = text_bytes(batch.column("text"))
+    keys = _NO_KEYS
+    for start in range(0, len(data), BLOCK_BYTES):
+        found = _keys(data, offsets, start, min(start + BLOCK_BYTES, len(data)))
+        keys = np.union1d(keys, found) if len(keys) else found
+    return keys & ((1 << BITS) - 1), keys >> BITS
 
 
 def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,15 +91,34 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[0, used]), pa.array(seen[1, used])], ["feature", "clean", "toxic"])
 
 
-def _feature_lists(wanted: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ratios(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -> np.ndarray:
+    """Log-count ratio of each feature, 0 where chance explains its counts (``EVIDENCE``)."""
+    ratio = np.log((toxic + 1.0) / (n_toxic + 2.0)) - np.log((clean + 1.0) / (n_clean + 2.0))
+    share, both = n_toxic / (n_toxic + n_clean), clean + toxic
+    apart = np.abs(toxic - share * both) / np.sqrt(np.maximum(both, 1) * share * (1 - share))
+    return np.where(apart >= EVIDENCE, ratio, 0.0)
+
+
+VECTORS = T.StructType([T.StructField("toxic", T.DoubleType()), T.StructField("weight", T.DoubleType()), T.StructField("features", VectorUDT())])
+_STORED = "toxic double, weight double, features struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
+
+
+def _vectors(ratio: np.ndarray, share: tuple[float, float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sparse vectors, in the layout in which Spark stores them, of the ratios of each document's features."""
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            feature, row = _row_features(batch, wanted)
-            ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            found = pa.ListArray.from_arrays(pa.array(ends), pa.array(feature.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), found], ["toxic", "features"])
+            feature, row = _row_features(batch)
+            kept = ratio[feature] != 0
+            feature, row = feature[kept], row[kept]
+            ends = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+            toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(float)
+            same = np.zeros(batch.num_rows, np.int8), np.full(batch.num_rows, 1 << BITS, np.int32)
+            lists = (pa.ListArray.from_arrays(ends, pa.array(v)) for v in (feature.astype(np.int32), ratio[feature]))
+            vector = pa.StructArray.from_arrays([*map(pa.array, same), *lists], ["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([pa.array(toxic), pa.array(np.where(toxic == 1, share[1], share[0])), vector], ["toxic", "weight", "features"])
 
-    return lists
+    return vectors
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | None:
@@ -92,9 +126,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | Non
 
     Each feature's ratio is log of its smoothed document frequency among toxic
     over that among other documents. Logistic regression on the features so
-    scaled, both classes weighing the same, gives one weight per feature; the bias
-    is then moved to the labelled share of toxic documents. None if a class has no
-    rows. The driver gets 2 ** BITS counts, then the kept features of 2 * rows documents.
+    scaled, both classes weighing the same, gives one weight per feature, its
+    gradients summed on the executors; the bias is then moved to the labelled share
+    of toxic documents. None if a class has no rows. The driver gets 2 ** BITS
+    counts and holds a few vectors of that length, never features of documents.
     """
     usable = labels.filter(~held_out(F.col("doc_id")))
     ids = [fitting_ids(usable, "toxic", value, rows).withColumn("toxic", F.lit(value)) for value in (0, 1)]
@@ -104,50 +139,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | Non
     if len(sizes) < 2:
         return None
     counts = map_arrow(sample, _feature_counts, "feature long, clean long, toxic long").groupBy("feature")
-    counts = counts.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(F.col("clean") + F.col("toxic") >= LEAST_SEEN).toArrow()
-    rate = [(counts.column(name).to_numpy() + 1.0) / (sizes[side] + 2.0) for side, name in enumerate(("clean", "toxic"))]
-    ratio = np.log(rate[1] / rate[0])
-    best = np.lexsort((counts.column("feature").to_numpy(), -np.abs(ratio)))[:FEATURES]
-    chosen, ratio = counts.column("feature").to_numpy()[best], ratio[best]
-    place = np.full(1 << BITS, -1)
-    place[chosen] = np.arange(len(chosen))
-    lists = map_arrow(sample, _feature_lists(place >= 0), "toxic int, features array<int>").toArrow()
-    toxic = lists.column("toxic").to_numpy() == 1
-    parts = lists.column("features").combine_chunks()
-    row = np.repeat(np.arange(len(toxic)), np.diff(parts.offsets.to_numpy()))
-    weights, bias = _logistic(row, place[parts.flatten().to_numpy()], ratio, toxic)
+    counts = counts.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    seen = [counts.column(name).to_numpy() for name in ("clean", "toxic")]
+    scale = np.zeros(1 << BITS)
+    scale[counts.column("feature").to_numpy()] = _ratios(*seen, sizes[0], sizes[1])
+    share = tuple(sum(sizes.values()) / (2.0 * sizes[side]) for side in (0, 1))
+    vectors = stored(map_arrow(sample, _vectors(scale, share), _STORED), VECTORS)
+    fitted = LogisticRegression(
+        labelCol="toxic", weightCol="weight", regParam=PENALTY, standardization=False, maxIter=STEPS, tol=1e-5).fit(vectors)
     labelled = dict(usable.filter("toxic IN (0, 1)").groupBy("toxic").count().collect())
-    bias += np.log(labelled[1] / labelled[0])
-    out = np.zeros(1 << BITS)
-    out[chosen] = weights * ratio
-    return Model(out, float(bias))
-
-
-def _logistic(row: np.ndarray, at: np.ndarray, scale: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float]:
-    """Class-balanced logistic regression by accelerated gradient steps."""
-    value = scale[at]
-    share = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
-    # Rows have bounded norm after this, which sets a safe step size.
-    norm = np.sqrt(np.bincount(row, value * value, minlength=len(toxic)).max() + 1.0)
-    value = value / norm
-    w, bias, last, speed = np.zeros(len(scale)), 0.0, None, 1.0
-    look_w, look_b = w, bias
-    for _ in range(STEPS):
-        margin = np.bincount(row, look_w[at] * value, minlength=len(toxic)) + look_b
-        error = share * (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - toxic)
-        grad_w = np.bincount(at, error[row] * value, minlength=len(scale)) + PENALTY / norm**2 * look_w
-        next_w, next_b = look_w - 4 * grad_w, look_b - 4 * error.sum()
-        next_speed = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
-        momentum = (speed - 1) / next_speed
-        look_w, look_b = next_w + momentum * (next_w - w), next_b + momentum * (next_b - bias)
-        w, bias, speed = next_w, next_b, next_speed
-    return w / norm, bias
+    bias = fitted.intercept + np.log(labelled[1] / labelled[0])
+    return Model(fitted.coefficients.toArray() * scale, float(bias))
 
 
 def _chances(batch: pa.RecordBatch, model: Model | None) -> np.ndarray:
     margin = np.full(batch.num_rows, model.bias if model else 0.0)
     if model:
-        feature, row = _row_features(batch, model.weights != 0)
+        feature, row = _row_features(batch)
         margin += np.bincount(row, model.weights[feature], minlength=batch.num_rows)
     return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 

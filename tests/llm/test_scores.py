@@ -7,8 +7,11 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from lineout.llm import toxicity
 from lineout.llm.lm_scores import score_documents
 from lineout.llm.resampling import select_quality
 from lineout.llm.toxicity import drop_toxic, score_toxicity
@@ -116,3 +119,44 @@ def test_losses_tell_every_word_and_pair_apart(spark, hot, buckets):
     for row, (doc, n, target, background) in zip(by_id(got), want):
         assert (row.doc_id, row.n_words) == (doc, n)
         assert (row.target_loss, row.background_loss, row.loss_difference) == pytest.approx((target, background, target - background), abs=1e-7)
+
+
+def test_toxicity_features_are_the_distinct_character_ngrams_of_each_row(monkeypatch):
+    texts = ["Ab ab é🙂é🙂 日本語 text", None, "", "ab", "abc", "Éa" * 9, "the Cat sat " * 20 + "naïve 🙂"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    feature, row = toxicity._row_features(batch)
+    for i, text in enumerate(texts):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        grams = {low[j : j + n] for n in toxicity.ORDERS for j in range(len(low) - n + 1)}
+        assert len(grams) - 2 <= (row == i).sum() <= len(grams)  # two may share a hash
+    one = pa.RecordBatch.from_arrays([pa.array([texts[0].replace("ab", "AB")])], ["text"])
+    assert set(toxicity._row_features(one)[0]) == set(feature[row == 0])
+    for size in (1, 2, 3, 7, 64):  # a long text read in slices has the features of the whole
+        monkeypatch.setattr(toxicity, "BLOCK_BYTES", size)
+        again = toxicity._row_features(batch)
+        assert (again[0] == feature).all() and (again[1] == row).all()
+
+
+def test_toxicity_ratios_keep_what_chance_does_not_explain():
+    clean, toxic = np.array([0, 50, 400, 2, 0]), np.array([30, 50, 100, 1, 0])
+    ratio = toxicity._ratios(clean, toxic, 400, 100)
+    assert ratio[0] == pytest.approx(math.log((31 / 102) / (1 / 402)))
+    assert ratio[1] == pytest.approx(math.log((51 / 102) / (51 / 402)))
+    assert list(ratio[2:]) == [0, 0, 0]  # as frequent as the classes, too rare, unseen
+
+
+def test_toxicity_learns_a_wide_lexicon(spark):
+    rng = random.Random(8)
+    made = lambda n: "".join(rng.choices("bcdfghjklmnpqrstvwxz", k=n))
+    lexicon, plain = [made(9) for _ in range(120)], [made(6) for _ in range(400)]
+    docs, labels = [], []
+    for i in range(2000):
+        toxic = int(i % 4 == 0)
+        words = rng.choices(plain, k=30) + (rng.choices(lexicon, k=6) if toxic else [])
+        rng.shuffle(words)
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1, toxic))
+    scored = score_toxicity(docs_table(spark, docs), labels_table(spark, labels)).filter("held_out").collect()
+    caught = [r.predicted for r in scored if r.doc_id % 4 == 0]
+    spared = [1 - r.predicted for r in scored if r.doc_id % 4]
+    assert sum(caught) >= 0.9 * len(caught) and sum(spared) >= 0.98 * len(spared)
