@@ -8,6 +8,7 @@ from lineout import schema as S
 from lineout.functions import labels as L
 from lineout.operators import clean, models
 from lineout.queries.registry import query
+from lineout.sources.write import materialise
 
 
 @query("p1_project", "SELECT row_key, hit_angle, hit_speed, p FROM balls")
@@ -50,8 +51,8 @@ def _(t):
 
 @query("p7_bind_predictions", "SELECT row_key, stand, hit, p FROM clean")
 def _(t):
-    predictions = t.clean.select("row_key", "p")
-    return t.clean.select("row_key", "stand", "hit").join(predictions, "row_key")
+    rows = materialise(t.once.clean.select("row_key", "stand", "hit", "p"))  # read twice
+    return rows.select("row_key", "stand", "hit").join(rows.select("row_key", "p"), "row_key")
 
 
 @query("p9_row_key", """
