@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from lineout.operators import clean, joins
@@ -38,14 +37,14 @@ SELECT batter, year, CAST(q AS INTEGER) AS quarter,
 FROM (SELECT DISTINCT batter, year FROM balls), (SELECT unnest([1, 2, 3, 4]) AS q)""")
 def _(t):
     # Defined here so that it travels to the workers by value.
-    def quarters(batter: int, year: int) -> pd.DataFrame:
+    def quarters(batter: int, year: int) -> dict[str, list]:
         quarter = list(range(1, 5))
-        return pd.DataFrame({
-            "batter": batter, "year": year, "quarter": quarter,
+        return {
+            "batter": [batter] * 4, "year": [year] * 4, "quarter": quarter,
             "extract": [f"{year}/{batter}-q{q}.csv" for q in quarter],
-        })
+        }
 
-    keys = t.balls.select("batter", "year")
+    keys = t.once.balls.select("batter", "year")
     return joins.apply_per_key(keys, quarters, "batter long, year int, quarter int, extract string")
 
 
