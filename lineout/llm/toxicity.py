@@ -35,6 +35,10 @@ class Model:
     weights: np.ndarray  # 2 ** BITS values
     bias: float
 
+    @property
+    def wanted(self) -> np.ndarray:
+        return self.weights != 0
+
 
 def _characters(data: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Characters that begin from ``start`` to ``end``, with those an n-gram needs behind them.
@@ -52,8 +56,11 @@ def _characters(data: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.
     return code, at + start, own
 
 
-def _keys(data: np.ndarray, offsets: np.ndarray, start: int, end: int) -> np.ndarray:
-    """(row, feature) of every n-gram that begins from ``start`` to ``end`` and ends in its row, as one number."""
+def _keys(data: np.ndarray, offsets: np.ndarray, start: int, end: int, wanted: np.ndarray | None) -> np.ndarray:
+    """(row, feature) of every n-gram that begins from ``start`` to ``end`` and ends in its row, as one number.
+
+    With ``wanted`` (a flag per feature) the others are left out before anything is sorted.
+    """
     letters, at, own = _characters(data, start, end)
     row = np.searchsorted(offsets, at, side="right") - 1
     code, found = letters, [_NO_KEYS]
@@ -65,16 +72,20 @@ def _keys(data: np.ndarray, offsets: np.ndarray, start: int, end: int) -> np.nda
         if n in ORDERS:
             inside = (row[:size] == row[n - 1 :]) & (np.arange(size) < own)
             hashed = (mixed(code[inside] + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int64)
-            found.append((row[:size][inside] << BITS) | hashed)
+            if wanted is None:
+                found.append((row[:size][inside] << BITS) | hashed)
+            else:
+                at = np.flatnonzero(wanted[hashed])
+                found.append((row[:size][inside][at] << BITS) | hashed[at])
     return np.unique(np.concatenate(found))
 
 
-def _row_features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _row_features(batch: pa.RecordBatch, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (feature, row), in order of row and feature. A long text is read in slices."""
     data, offsets = text_bytes(batch.column("text"))
     keys = _NO_KEYS
     for start in range(0, len(data), BLOCK_BYTES):
-        found = _keys(data, offsets, start, min(start + BLOCK_BYTES, len(data)))
+        found = _keys(data, offsets, start, min(start + BLOCK_BYTES, len(data)), wanted)
         keys = np.union1d(keys, found) if len(keys) else found
     return keys & ((1 << BITS) - 1), keys >> BITS
 
@@ -104,17 +115,20 @@ _STORED = "toxic double, weight double, features struct<type: tinyint, size: int
 
 
 def _vectors(ratio: np.ndarray, share: tuple[float, float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sparse vectors, in the layout in which Spark stores them, of the ratios of each document's features."""
+    """Sparse vectors, in the layout in which Spark stores them, of the ratios of each document's features.
+
+    Features without a ratio have no place in them.
+    """
+    wanted = ratio != 0
+    place, size = (np.cumsum(wanted) - 1).astype(np.int32), max(1, int(wanted.sum()))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            feature, row = _row_features(batch)
-            kept = ratio[feature] != 0
-            feature, row = feature[kept], row[kept]
+            feature, row = _row_features(batch, wanted)
             ends = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(float)
-            same = np.zeros(batch.num_rows, np.int8), np.full(batch.num_rows, 1 << BITS, np.int32)
-            lists = (pa.ListArray.from_arrays(ends, pa.array(v)) for v in (feature.astype(np.int32), ratio[feature]))
+            same = np.zeros(batch.num_rows, np.int8), np.full(batch.num_rows, size, np.int32)
+            lists = (pa.ListArray.from_arrays(ends, pa.array(v)) for v in (place[feature], ratio[feature]))
             vector = pa.StructArray.from_arrays([*map(pa.array, same), *lists], ["type", "size", "indices", "values"])
             yield pa.RecordBatch.from_arrays([pa.array(toxic), pa.array(np.where(toxic == 1, share[1], share[0])), vector], ["toxic", "weight", "features"])
 
@@ -127,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | Non
     Each feature's ratio is log of its smoothed document frequency among toxic
     over that among other documents. Logistic regression on the features so
     scaled, both classes weighing the same, gives one weight per feature, its
-    gradients summed on the executors; the bias is then moved to the labelled share
+    gradients (a number per kept feature) summed on the executors; the bias is then moved to the labelled share
     of toxic documents. None if a class has no rows. The driver gets 2 ** BITS
     counts and holds a few vectors of that length, never features of documents.
     """
@@ -149,21 +163,26 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | Non
         labelCol="toxic", weightCol="weight", regParam=PENALTY, standardization=False, maxIter=STEPS, tol=1e-5).fit(vectors)
     labelled = dict(usable.filter("toxic IN (0, 1)").groupBy("toxic").count().collect())
     bias = fitted.intercept + np.log(labelled[1] / labelled[0])
-    return Model(fitted.coefficients.toArray() * scale, float(bias))
+    weights = np.zeros(1 << BITS)
+    used = np.flatnonzero(scale)
+    weights[used] = fitted.coefficients.toArray()[: len(used)] * scale[used]
+    return Model(weights, float(bias))
 
 
-def _chances(batch: pa.RecordBatch, model: Model | None) -> np.ndarray:
+def _chances(batch: pa.RecordBatch, model: Model | None, wanted: np.ndarray | None) -> np.ndarray:
     margin = np.full(batch.num_rows, model.bias if model else 0.0)
     if model:
-        feature, row = _row_features(batch)
+        feature, row = _row_features(batch, wanted)
         margin += np.bincount(row, model.weights[feature], minlength=batch.num_rows)
     return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
 
 def _scorer(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    wanted = model.wanted if model else None
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_chances(batch, model))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_chances(batch, model, wanted))], ["doc_id", "score"])
 
     return score
 
@@ -171,10 +190,11 @@ def _scorer(model: Model | None) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = FIT_ROWS) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose score is below ``threshold``."""
     model = fit(docs, labels, rows)
+    wanted = model.wanted if model else None
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            yield batch.filter(pa.array(_chances(batch, model) < threshold))
+            yield batch.filter(pa.array(_chances(batch, model, wanted) < threshold))
 
     return map_arrow(docs, keep, docs.schema)
 

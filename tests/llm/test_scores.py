@@ -160,3 +160,19 @@ def test_toxicity_learns_a_wide_lexicon(spark):
     caught = [r.predicted for r in scored if r.doc_id % 4 == 0]
     spared = [1 - r.predicted for r in scored if r.doc_id % 4]
     assert sum(caught) >= 0.9 * len(caught) and sum(spared) >= 0.98 * len(spared)
+
+
+def test_toxicity_sorts_and_fits_only_features_with_a_ratio():
+    texts = ["abcdefg vilefool", "", None, "Abcdefg " * 40]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([1, 0, 0, 1])], ["text", "toxic"])
+    feature, row = toxicity._row_features(batch)
+    ratio = np.zeros(1 << toxicity.BITS)
+    ratio[feature[::3]] = np.arange(1.0, len(feature[::3]) + 1)
+    kept = ratio[feature] != 0
+    some = toxicity._row_features(batch, ratio != 0)
+    assert np.array_equal(some[0], feature[kept]) and np.array_equal(some[1], row[kept])
+    [out] = toxicity._vectors(ratio, (0.5, 2.0))(iter([batch]))
+    vectors, used = out.column("features").to_pylist(), np.flatnonzero(ratio)
+    assert {v["size"] for v in vectors} == {len(used)} and out.column("weight").to_pylist() == [2.0, 0.5, 0.5, 2.0]
+    for i, v in enumerate(vectors):
+        assert np.array_equal(used[v["indices"]], feature[kept & (row == i)]) and np.array_equal(ratio[used[v["indices"]]], v["values"])
