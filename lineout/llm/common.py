@@ -36,6 +36,31 @@ def stored(df: DataFrame, schema: T.StructType | None = None) -> DataFrame:
     return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 
+class Buckets:
+    """Tables dealt by a key to as many buckets as the session has shuffle partitions, until ``drop``."""
+
+    def __init__(self, spark: SparkSession, key: str):
+        self.spark, self.key, self.count, self.made = spark, key, int(spark.conf.get("spark.sql.shuffle.partitions")), []
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        name = f"{self.key}_{uuid.uuid4().hex}"
+        path = f"{shared_folder(self.spark)}/{name}"
+        self.made.append((name, path))
+        df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(self.count, self.key).saveAsTable(name)
+        return self.spark.table(name)
+
+    def listed(self, df: DataFrame, name: str, value: Column | str) -> DataFrame:
+        """The values of each key as one list, dealt like the tables: a join with one of them leaves it where it is."""
+        return df.repartition(self.count, self.key).groupBy(self.key).agg(F.collect_list(value).alias(name))
+
+    def drop(self) -> None:
+        for name, path in self.made:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.made = []
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` in batches of at most ``BATCH_ROWS`` rows: whole texts are long, and workers and
     executors hold a batch several times. The session keeps a smaller setting of its own."""

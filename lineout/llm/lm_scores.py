@@ -1,4 +1,12 @@
-"""Score documents by cross-entropy difference of two n-gram language models."""
+"""Score documents by cross-entropy difference of two n-gram language models.
+
+Texts are cut into parts as they lie. Each part asks once for every distinct word and
+pair that it has: the hashes go in order, as steps from one to the next, to the bucket
+that their upper bits name, with the part's own counts. A bucket adds the counts up and
+answers in the order of the question, without a key, and the part scores its texts. What
+is moved grows with the distinct words and pairs of the parts, not with the occurrences,
+and a word that is met often is one entry of a part like any other.
+"""
 
 from __future__ import annotations
 
@@ -11,273 +19,186 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineout.llm.common import map_arrow, stored
-from lineout.llm.words import blocks, mixed, words
+from lineout.llm.common import Buckets, map_arrow, stored
+from lineout.llm.words import BLOCK_BYTES, blocks, mixed, packed, steps, unpacked, unsteps, words
 
 BACKOFF = 2.0  # weight of the unigram chance in a bigram estimate
-HOT = 1 << 18  # words and pairs met so often are counted first and sent to every task: at most one per HOT words of text
-BUCKETS, BUCKET_WORDS = 256, 1 << 20  # words of text are dealt into buckets of about this size, and so many at least
 PART_WORDS = 1 << 19  # words of text that a task sorts and counts at once
+BUCKETS, BUCKET_WORDS = 256, 1 << 21  # words of text are asked for in buckets of about this size at most, and so many at least
 UNIT = 2.0**32  # losses are summed as integers of this fraction, so that no order of rows changes a sum
 
 _BEGIN = np.uint64(0xB5297A4D)
-_SCORED = "key long, doc_id long, n long, background long, target long"
-_DEALT = "bucket int, base long, words binary, pairs binary, codes binary, docs array<long>, sums binary"
+_PARTS = "part long, n long, ids array<long>, sizes binary, distinct long, words binary, places binary"
+_ASKED = "bucket int, part long, asked array<binary>"
+_ANSWERED = "part long, bucket int, answer array<binary>"
+_SCORED = "doc_id long, n long, background long, target long"
 
 
 @dataclass
 class Part:
-    """Words of some rows of a task in their order, and the key of the first of these rows."""
+    """Words of some rows in their order."""
 
-    base: int
-    word: np.ndarray
-    pair: np.ndarray
-    row: np.ndarray
-    first: np.ndarray  # no word before
+    sizes: np.ndarray  # words of each row
+    words: np.ndarray  # distinct, sorted
+    place: np.ndarray  # of each word of the rows among them
     last: np.ndarray  # no word after
-    target: np.ndarray  # of each row
-    ids: pa.Array
+    pairs: np.ndarray  # distinct, sorted
+    pair: np.ndarray  # place of each word's pair among them
 
     @classmethod
-    def of(cls, base: int, batches: list[pa.RecordBatch]) -> Part:
+    def of(cls, row: dict) -> Part:
+        sizes, place = unpacked(row["sizes"], len(row["ids"])).astype(np.int64), unpacked(row["places"], row["n"]).astype(np.int64)
+        found = unsteps(row["words"], row["distinct"])
+        ends = np.cumsum(sizes)[sizes > 0]
+        last = np.zeros(len(place), bool)
+        last[ends - 1] = True
+        hashes = found[place]
+        before = np.full(len(place), _BEGIN, np.uint64)
+        before[1:] = np.where(last[:-1], _BEGIN, hashes[:-1])
+        pairs, pair = np.unique(mixed(mixed(before) + hashes), return_inverse=True)
+        return cls(sizes, found, place, last, pairs, pair)
+
+
+def _cutter(part_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = [field.split()[0] for field in _PARTS.split(", ")]
+
+    def made(part: int, batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         batch = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
         found = words(batch.column("text"))
-        first, last = np.ones(len(found.row), bool), np.ones(len(found.row), bool)
-        first[1:] = found.row[1:] != found.row[:-1]
-        last[:-1] = first[1:]
-        before = np.full(len(found.row), _BEGIN, np.uint64)
-        before[1:] = np.where(first[1:], _BEGIN, found.hashes[:-1])
-        target = batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
-        return cls(base, found.hashes, mixed(mixed(before) + found.hashes), found.row, first, last, target, batch.column("doc_id"))
-
-
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
-    """About ``PART_WORDS`` words each; rows are numbered within the task."""
-    held, size, rows, base = [], 0, 0, TaskContext.get().partitionId() << 40
-    for batch in blocks(batches):
-        held.append(batch)
-        rows, size = rows + batch.num_rows, size + batch.column("text").nbytes // 6
-        if size >= PART_WORDS:
-            yield Part.of(base, held)
-            held, size, rows, base = [], 0, 0, base + rows
+        distinct, place = np.unique(found.hashes, return_inverse=True)
+        ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("doc_id").cast(pa.int64()))
+        sizes = packed(np.bincount(found.row, minlength=batch.num_rows))
+        return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([len(place)]), ids, *map(pa.array, ([sizes], [len(distinct)], [steps(distinct)], [packed(place)]))], names)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in parts of about ``part_words`` words: their ids, and the place of each word among the distinct ones."""
+        held, size, part = [], 0, TaskContext.get().partitionId() << 32
+        for batch in blocks(batches, limit=min(BLOCK_BYTES, 6 * part_words)):
+            held.append(batch)
+            size += batch.column("text").nbytes // 6
+            if size >= part_words:
+                yield made(part, held)
+                held, size, part = [], 0, part + 1
+        if held:
+            yield made(part, held)
+
+    return cut
+
+
+def _by_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's hashes begin in a sorted table, and the end."""
+    bucket = (hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    return np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+
+
+def _asker(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per bucket: the part's words there and how often each is met and ends a text, in all rows and in
+        those of the target; its pairs and how often each is met. Every bucket is asked, for its totals."""
+        for row in _rows(batches):
+            if not row["n"]:
+                continue
+            part = Part.of(row)
+            good = np.zeros(len(part.sizes), bool)
+            good[row["good"] or []] = True
+            good = np.repeat(good, part.sizes)
+            asked = []
+            for hashes, at, uses in ((part.words, part.place, (slice(None), good, part.last, part.last & good)), (part.pairs, part.pair, (slice(None), good))):
+                counts, cuts = [np.bincount(at[use], minlength=len(hashes)) for use in uses], _by_bucket(hashes, buckets)
+                asked.append([[(b - a).tobytes(), steps(hashes[a:b]), *(packed(c[a:b]) for c in counts)] for a, b in zip(cuts, cuts[1:])])
+            listed = pa.array([w + p for w, p in zip(*asked)], pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), pa.array(np.full(buckets, row["part"])), listed], ["bucket", "part", "asked"])
+
+    return ask
+
+
+def _added_up(questions: list[list[bytes]]) -> tuple[list[list[bytes]], list[int]]:
+    """Each question's hashes with their counts in all questions; the number of distinct ones and the sum of each count."""
+    sizes = [int(np.frombuffer(q[0], np.int64)[0]) for q in questions]
+    distinct, at = np.unique(np.concatenate([unsteps(q[1], n) for q, n in zip(questions, sizes)]), return_inverse=True)
+    sums = [np.bincount(at, np.concatenate([unpacked(q[i], n) for q, n in zip(questions, sizes)]), len(distinct)).astype(np.int64) for i in range(2, len(questions[0]))]
+    cuts = np.cumsum([0, *sizes])
+    return [[packed(s[at[a:b]]) for s in sums] for a, b in zip(cuts, cuts[1:])], [len(distinct), *(int(s.sum()) for s in sums)]
+
+
+def _answered(bucket: int, held: list[tuple[int, list[bytes]]]) -> pa.RecordBatch:
+    about_words, totals = _added_up([asked[:6] for _, asked in held])
+    about_pairs, _ = _added_up([asked[6:] for _, asked in held])
+    totals = np.array(totals).tobytes()
+    listed = pa.array([[totals, *w, *p] for w, p in zip(about_words, about_pairs)], pa.list_(pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array([part for part, _ in held], pa.int64()), pa.array([bucket] * len(held), pa.int32()), listed], ["part", "bucket", "answer"])
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers of one bucket after another."""
+    held, now = [], None
+    for row in _rows(batches):
+        if held and row["bucket"] != now:
+            yield _answered(now, held)
+            held = []
+        now = row["bucket"]
+        held.append((row["part"], row["asked"]))
     if held:
-        yield Part.of(base, held)
-
-
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each word of a part is met and how often it is followed by one, in all rows and in those of the target."""
-    for part in _parts(batches):
-        word, at = np.unique(part.word, return_inverse=True)
-        target = part.target[part.row]
-        counts = [np.bincount(at[use], minlength=len(word)) for use in (slice(None), target, ~part.last, target & ~part.last)]
-        yield pa.RecordBatch.from_arrays([_signed(word), *map(pa.array, counts)], ["word", "n", "n_target", "c", "c_target"])
-
-
-def _found(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each value in a sorted table, and whether it is there."""
-    at = np.minimum(np.searchsorted(table, values), max(0, len(table) - 1))
-    return at, table[at] == values if len(table) else np.zeros(len(values), bool)
-
-
-def _pair_counter(hot: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of the pairs of two hot words, or of one that begins a text: no other pair is met as often."""
-        for part in _parts(batches):
-            is_hot = _found(hot, part.word)[1]
-            use = is_hot & part.first
-            use[1:] |= is_hot[1:] & is_hot[:-1] & ~part.first[1:]
-            pair, at = np.unique(part.pair[use], return_inverse=True)
-            n, n_target = np.bincount(at, minlength=len(pair)), np.bincount(at[part.target[part.row[use]]], minlength=len(pair))
-            yield pa.RecordBatch.from_arrays([_signed(pair), pa.array(n), pa.array(n_target)], ["pair", "n", "n_target"])
-
-    return count
-
-
-@dataclass
-class Models:
-    """What every task needs of background and target (0 and 1); all other counts stay with their words."""
-
-    vocabulary: int
-    total: list[int]
-    begun: list[int]  # texts that have a word
-    words: np.ndarray  # hot ones, sorted
-    word_counts: np.ndarray
-    followed: np.ndarray
-    pairs: np.ndarray
-    pair_counts: np.ndarray
-
-    def pair_loss(self, side: int, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return _fixed(-np.log(pair + BACKOFF * ((word + 1.0) / (self.total[side] + self.vocabulary))))
+        yield _answered(now, held)
 
 
 def _fixed(loss: np.ndarray | float) -> np.ndarray:
     return np.rint(loss * UNIT).astype(np.int64)
 
 
-def _sorted(rows: list, columns: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes in order, and the counts beside them, one row per column."""
-    table = np.array([tuple(r) for r in rows], np.int64).reshape(-1, columns)
-    hashes = np.ascontiguousarray(table[:, 0]).view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], table[order, 1:].T
-
-
-def count_models(marked: DataFrame, hot: int = HOT) -> Models:
-    """Totals and hot counts of all documents and of the marked ones.
+def _scorer(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def losses(part: Part, answers: list[list[bytes]]) -> Iterator[np.ndarray]:
+        """Of the background's and the target's model: the loss of each row that has a word."""
+        vocabulary, *totals = np.sum([np.frombuffer(a[0], np.int64) for a in answers], 0)
+        sizes = [np.diff(_by_bucket(hashes, buckets)) for hashes in (part.words, part.pairs)]
+        counts = [np.concatenate([unpacked(a[i], n) for a, n in zip(answers, sizes[i > 4])]).astype(np.int64) for i in range(1, 7)]
+        word = np.zeros(len(part.pairs), np.int64)
+        word[part.pair] = part.place
+        ends = np.cumsum(part.sizes)[part.sizes > 0]
+        for side in (0, 1):
+            n, n_last, n_pair = counts[side], counts[2 + side], counts[4 + side]
+            loss = _fixed(-np.log(n_pair + BACKOFF * ((n[word] + 1.0) / (totals[side] + vocabulary))))[part.pair]
+            loss += np.where(part.last, 0, _fixed(np.log(n - n_last + BACKOFF))[part.place])
+            yield np.add.reduceat(loss, np.concatenate([[0], ends[:-1]])) + _fixed(np.log(totals[2 + side] + BACKOFF))  # one last word for each text
 
-    Every word is counted, by part before anything is shuffled. The driver gets
-    the totals and the words and pairs met ``hot`` times or more, at most one per
-    ``hot`` words of text.
-    """
-    names = ("n", "n_target", "c", "c_target")
-    counted = map_arrow(marked, _count_words, "word long, n long, n_target long, c long, c_target long").groupBy("word").agg(*[F.sum(c).alias(c) for c in names])
-    whole = counted.agg(
-        F.count("*").alias("vocabulary"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names],
-        F.collect_list(F.when(F.col("n") >= hot, F.struct("word", *names))).alias("hot"),
-    ).first()
-    found, counts = _sorted(whole.hot, 5)
-    pairs, pair_counts = _sorted([], 3)
-    if len(found):
-        often = map_arrow(marked, _pair_counter(found), "pair long, n long, n_target long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-        pairs, pair_counts = _sorted(often.filter(F.col("n") >= hot).collect(), 3)
-    begun = [whole.n - whole.c, whole.n_target - whole.c_target]  # one last word for each
-    return Models(whole.vocabulary, [whole.n, whole.n_target], begun, found, counts[:2], counts[2:], pairs, pair_counts)
-
-
-def _cut(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    """One binary value between each two cuts."""
-    offsets = (cuts * values.dtype.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
-
-
-def _dealer(models: Models, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = [field.split()[0] for field in _DEALT.split(", ")]
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Words of each part by bucket, one row each, and one row for its documents with the sums known here.
-
-        A word's bucket has all its pairs; those of a hot word, whose count is known, are dealt by pair.
-        """
-        for part in _parts(batches):
-            rows = len(part.ids)
-            n = np.bincount(part.row, minlength=rows)
-            sums = np.zeros((3, rows), np.int64)
-            sums[0] = n
-            at, hot = _found(models.words, part.word)
-            place, known = _found(models.pairs, part.pair)
-            known &= hot
-            follows = hot & ~part.last
-            for side in (0, 1):
-                sums[side + 1, n > 0] += _fixed(np.log(models.begun[side] + BACKOFF))
-                np.add.at(sums[side + 1], part.row[follows], _fixed(np.log(models.followed[side, at[follows]] + BACKOFF)))
-                loss = models.pair_loss(side, models.pair_counts[side, place[known]], models.word_counts[side, at[known]])
-                np.add.at(sums[side + 1], part.row[known], loss)
-            code = ((part.row << 2) | (part.last << 1) | part.target[part.row]).astype(np.uint32)
-            by = np.where(hot, part.pair, part.word)
-            order = np.flatnonzero(~known)
-            order = order[np.lexsort((part.pair[order], by[order]))]
-            bucket = ((by[order] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
-            many = len(cuts) - 1
-            none = [pa.nulls(many, pa.list_(pa.int64())), pa.nulls(many, pa.binary())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[cuts[:-1]]), pa.array(np.full(many, part.base)), *(_cut(x[order], cuts) for x in (part.word, part.pair, code)), *none], names
-            )
-            ids = pa.ListArray.from_arrays(pa.array([0, rows], pa.int32()), part.ids)
-            head = int(mixed(np.array([part.base], np.uint64))[0] % np.uint64(buckets))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([head], pa.int32()), pa.array([part.base]), *[pa.nulls(1, pa.binary())] * 3, ids, pa.array([sums.tobytes()], pa.binary())], names
-            )
-
-    return deal
-
-
-def _runs(begins: np.ndarray, *weights: np.ndarray) -> Iterator[np.ndarray]:
-    """Sum of each weight over the run that each place lies in."""
-    at = np.flatnonzero(begins)
-    for weight in weights:
-        yield np.add.reduceat(weight.astype(np.int64), at)[np.cumsum(begins) - 1]
-
-
-def _scored(models: Models, held: list[tuple[int, bytes, bytes, bytes]]) -> pa.RecordBatch:
-    """Sums of a bucket's documents over its words."""
-    word, pair, code = (np.concatenate([np.frombuffer(h[i], kind) for h in held]) for i, kind in ((1, np.uint64), (2, np.uint64), (3, np.uint32)))
-    key = np.repeat(np.array([h[0] for h in held]), [len(h[3]) // 4 for h in held]) + (code >> 2)
-    order = np.lexsort((pair, word))
-    word, pair, code, key = word[order], pair[order], code[order], key[order]
-    new_word, new_pair = np.ones(len(word), bool), np.ones(len(word), bool)
-    new_word[1:] = word[1:] != word[:-1]
-    new_pair[1:] = new_word[1:] | (pair[1:] != pair[:-1])
-    target, follows = (code & 1) == 1, (code & 2) == 0
-    at, hot = _found(models.words, word)
-    ones = np.ones(len(word), np.int64)
-    loss = []
-    for side, of in enumerate((ones, target)):
-        (n_pair,), (n_word, followed) = _runs(new_pair, of), _runs(new_word, of, of & follows)
-        n_word[hot] = models.word_counts[side, at[hot]]
-        add = models.pair_loss(side, n_pair, n_word)
-        own = follows & ~hot
-        add[own] += _fixed(np.log(followed[own] + BACKOFF))
-        loss.append(add)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    sums = [np.add.reduceat(x[order], first) for x in loss]
-    return _rows(key[first], pa.nulls(len(first), pa.int64()), np.zeros(len(first), np.int64), *sums)
-
-
-def _rows(key: np.ndarray, ids: pa.Array, *values: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key), ids, *map(pa.array, values)], [field.split()[0] for field in _SCORED.split(", ")])
-
-
-def _scorer(models: Models) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums by document, bucket after bucket; buckets come one after another."""
-        held, now = [], None
-        for batch in batches:
-            columns = [batch.column(name) for name in ("bucket", "base", "words", "pairs", "codes", "docs", "sums")]
-            for i in range(batch.num_rows):
-                bucket, base, *found, docs, sums = (c[i] for c in columns)
-                if docs.is_valid:
-                    ids = docs.values
-                    yield _rows(base.as_py() + np.arange(len(ids)), ids.cast(pa.int64()), *np.frombuffer(sums.as_py(), np.int64).reshape(3, -1))
-                    continue
-                if held and bucket.as_py() != now:
-                    yield _scored(models, held)
-                    held = []
-                now = bucket.as_py()
-                held.append((base.as_py(), *(x.as_py() for x in found)))
-        if held:
-            yield _scored(models, held)
+        for row in _rows(batches):
+            part = Part.of(row)
+            sums = np.zeros((2, len(part.sizes)), np.int64)
+            if row["n"]:
+                sums[:, part.sizes > 0] = [*losses(part, [a["answer"] for a in sorted(row["answers"], key=lambda a: a["bucket"])])]
+            yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), *map(pa.array, (part.sizes, *sums))], ["doc_id", "n", "background", "target"])
 
     return score
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, hot: int = HOT, buckets: int = BUCKETS) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, part_words: int = PART_WORDS, buckets: int = BUCKETS) -> DataFrame:
     """One row per document: doc_id, n_words, mean loss per word under both models, and their difference.
 
     The target model is learned from all documents labelled quality 1, the
     background from all documents. Both are bigram models, backed off to words,
     over the vocabulary of all documents: words and pairs are told apart by 64-bit
-    hashes, and every one is counted. The words of all texts are dealt by their hash, so that
-    each meets the counts of its pairs, and the losses go back to the documents; words and
-    pairs met ``hot`` times or more are counted first, and no task gets all of them.
-    The lower ``loss_difference``, the more a text is like the target. Null and
+    hashes, and every one is counted. Texts stay in their parts; their distinct words and
+    pairs meet by hash, and only ids are joined with the labels. Null and
     empty texts have no words and all values 0. Repeated rows give repeated
     results; an empty table gives none. Without a labelled row the target model is uniform.
     """
-    wanted = labels.filter("quality = 1").select("doc_id").dropna().distinct().withColumn("target", F.lit(True))
-    marked = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
-    marked = stored(marked)  # read two or three times, each time in the same order: rows are known by their place
-    models = count_models(marked, hot)
-    buckets = max(buckets, -(-models.total[0] // BUCKET_WORDS))
-    dealt = map_arrow(marked, _dealer(models, buckets), _DEALT).repartition("bucket").sortWithinPartitions("bucket")
-    sums = map_arrow(dealt, _scorer(models), _SCORED).groupBy("key")
-    sums = sums.agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n", "background", "target")])
+    dealt = Buckets(docs.sparkSession, "part")
+    parts = dealt.stored(map_arrow(docs.select("doc_id", "text"), _cutter(part_words), _PARTS))
+    buckets = max(buckets, -(-(parts.agg(F.sum("n").alias("n")).first().n or 0) // BUCKET_WORDS))
+    wanted = labels.filter("quality = 1").select("doc_id").dropna().distinct()
+    good = parts.select("part", F.posexplode("ids").alias("row", "doc_id")).join(wanted, "doc_id").select("part", "row")
+    marked = parts.join(dealt.listed(good, "good", "row"), "part", "left")
+    asked = map_arrow(marked, _asker(buckets), _ASKED).repartitionById(dealt.count, "bucket").sortWithinPartitions("bucket")
+    answers = dealt.listed(map_arrow(asked, _answer, _ANSWERED), "answers", F.struct("bucket", "answer"))
+    sums = stored(map_arrow(parts.join(answers, "part", "left"), _scorer(buckets), _SCORED))
+    dealt.drop()
     mean = {side: F.col(side) / F.lit(UNIT) / F.greatest("n", F.lit(1)) for side in ("target", "background")}
     return sums.select(
         "doc_id", F.col("n").alias("n_words"), mean["target"].alias("target_loss"), mean["background"].alias("background_loss"),

@@ -11,7 +11,6 @@ that relation with itself, moved by one place.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from itertools import islice
@@ -23,8 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lineout.llm.common import LOWER, UPPER, map_arrow, stored
-from lineout.sources.write import shared_folder
+from lineout.llm.common import LOWER, UPPER, Buckets, map_arrow, stored
 
 # A word, or a run that ends a piece.
 TOKEN = re.compile(r"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]+")
@@ -98,30 +96,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made()
 
 
-class _Buckets:
-    """Tables dealt by chunk to as many buckets as the session has shuffle partitions, until ``drop``."""
-
-    def __init__(self, spark):
-        self.spark, self.count, self.made = spark, int(spark.conf.get("spark.sql.shuffle.partitions")), []
-
-    def stored(self, df: DataFrame) -> DataFrame:
-        name = f"phrases_{uuid.uuid4().hex}"
-        path = f"{shared_folder(self.spark)}/{name}"
-        self.made.append((name, path))
-        df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(self.count, "chunk").saveAsTable(name)
-        return self.spark.table(name)
-
-    def beside(self, relation: DataFrame, kept: DataFrame) -> DataFrame:
-        """Each chunk with its frequent phrases; the relation stays where it is."""
-        listed = kept.select("chunk", "phrase", "id").repartition(self.count, "chunk")
-        return relation.join(listed.groupBy("chunk").agg(F.collect_list(F.struct("phrase", "id")).alias("kept")), "chunk")
-
-    def drop(self) -> None:
-        for name, path in self.made:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-        self.made = []
+def _beside(buckets: Buckets, relation: DataFrame, kept: DataFrame) -> DataFrame:
+    """Each chunk with its frequent phrases; the relation stays where it is."""
+    return relation.join(buckets.listed(kept, "kept", F.struct("phrase", "id")), "chunk")
 
 
 @contextmanager
@@ -259,7 +236,7 @@ def collocations(
     then by the phrase's bytes. An empty table gives no rows. A piece is held whole, and a
     phrase meets once per chunk: nothing else grows in one task.
     """
-    buckets = _Buckets(docs.sparkSession)
+    buckets = Buckets(docs.sparkSession, "chunk")
     chunks = buckets.stored(map_arrow(docs.select("lang", "text"), _chunks, CHUNKS))
     listed = chunks.select("chunk", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("phrase", "x"))
     own = F.shiftleft("chunk", PHRASE_BITS).bitwiseOR(F.col("phrase").cast("long"))
@@ -268,7 +245,7 @@ def collocations(
     kept = _counted(words, ["lang", "word"], least)
     levels = [_phrases(kept, None)]
     with _chunk_by_chunk(docs.sparkSession):
-        relation = buckets.stored(map_arrow(buckets.beside(chunks.select("chunk", "numbers"), kept), _keep_words, RELATION))
+        relation = buckets.stored(map_arrow(_beside(buckets, chunks.select("chunk", "numbers"), kept), _keep_words, RELATION))
         for length in range(2, most_words + 1):
             groups = map_arrow(relation, _group_counts, GROUPS)
             if length == most_words:  # nothing is joined back any more
@@ -277,7 +254,7 @@ def collocations(
             else:
                 kept = _counted(groups, ["left", "right"], least)
                 levels.append(_phrases(kept, levels[-1]))
-                relation = buckets.stored(map_arrow(buckets.beside(relation, kept), _keep_longer, RELATION))
+                relation = buckets.stored(map_arrow(_beside(buckets, relation, kept), _keep_longer, RELATION))
     buckets.drop()
     scored = None
     for length, (phrases, longer) in enumerate(zip(levels, [*levels[1:], None]), 1):

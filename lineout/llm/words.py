@@ -20,6 +20,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Integers from 0 on as planes of bytes, the least first, as many as the largest needs."""
+    planes = (int(values.max(initial=0)).bit_length() + 7) // 8
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    full = np.zeros((n, 8), np.uint8)
+    if n:
+        planes = np.frombuffer(data, np.uint8).reshape(-1, n)
+        full[:, : len(planes)] = planes.T
+    return full.view("<u8").ravel()
+
+
+def steps(values: np.ndarray) -> bytes:
+    """Unsigned integers in order, packed by what each adds to the one before."""
+    return packed(np.diff(values, prepend=np.uint64(0)))
+
+
+def unsteps(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unpacked(data, n), dtype=np.uint64)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts and the offset of each row; nulls are empty."""
     column = column.cast(pa.large_string()).fill_null("")

@@ -11,7 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lineout.llm import toxicity
+from lineout.llm import lm_scores, toxicity, words
+from lineout.llm.common import map_arrow
 from lineout.llm.lm_scores import score_documents
 from lineout.llm.resampling import select_quality
 from lineout.llm.toxicity import drop_toxic, score_toxicity
@@ -121,6 +122,26 @@ def test_losses_tell_every_word_and_pair_apart(spark, hot, buckets):
         assert (row.target_loss, row.background_loss, row.loss_difference) == pytest.approx((target, background, target - background), abs=1e-7)
 
 
+def test_words_and_pairs_are_asked_for_once_per_part(spark):
+    rng = random.Random(6)
+    text = " ".join(f"w{rng.randrange(3000)}" for _ in range(20_000))
+    size = {}
+    for copies in (1, 20):
+        docs = docs_table(spark, [(i, text) for i in range(copies)]).select("doc_id", "text").coalesce(1)
+        parts = map_arrow(docs, lm_scores._cutter(1 << 20), lm_scores._PARTS)
+        asked = map_arrow(parts.selectExpr("*", "array(0) AS good"), lm_scores._asker(7), lm_scores._ASKED).collect()
+        assert len(asked) == 7
+        size[copies] = sum(len(a) for r in asked for a in r.asked)
+    assert size[1] < 12 * 20_000 and size[20] < 1.1 * size[1]  # every word used to move, as 20 bytes
+
+
+@pytest.mark.parametrize("values", [[], [0, 0], [0, 255], [256, 1, 0], [2**63 + 5, 7]])
+def test_packed_integers_come_back(values):
+    values = np.array(values, np.uint64)
+    assert (words.unpacked(words.packed(values), len(values)) == values).all()
+    assert (words.unsteps(words.steps(np.sort(values)), len(values)) == np.sort(values)).all()
+
+
 def test_toxicity_features_are_the_distinct_character_ngrams_of_each_row(monkeypatch):
     texts = ["Ab ab é🙂é🙂 日本語 text", None, "", "ab", "abc", "Éa" * 9, "the Cat sat " * 20 + "naïve 🙂"]
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
