@@ -5,13 +5,14 @@ order of place. Chunks are whole runs of text, dealt to buckets when the first r
 is written, so that every join by chunk reads its buckets as they lie. A pass counts the
 phrases of each chunk, adds the counts up by phrase, joins the frequent ones back to
 their chunks and stores what is left; phrases of k + 1 words are then the merge join of
-that relation with itself, moved by one place.
+that relation with itself, moved by one place. Beyond single words, a chunk asks for its
+distinct phrases by hash bucket, sorted and packed, and the answers come in the same order.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from itertools import islice
 
@@ -23,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lineout.llm.common import LOWER, UPPER, Buckets, map_arrow, stored
+from lineout.llm.words import mixed, packed, steps, unpacked, unsteps
 
 # A word, or a run that ends a piece.
 TOKEN = re.compile(r"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]+")
@@ -38,7 +40,11 @@ OUT_ROWS = 1 << 16
 CHUNKS = "chunk long, langs array<string>, words array<string>, counts array<long>, numbers binary"
 # Whether a phrase begins at each place (bits), the phrases there as numbers into ``ids``.
 RELATION = "chunk long, n long, places binary, phrases binary, ids array<long>"
-GROUPS = "own long, left long, right long, n long"  # own: chunk and phrase in one number
+ASKED = "bucket int, chunk long, asked array<binary>"
+# An answer to a chunk, or a bucket's frequent phrases with a null chunk.
+ANSWERED = "chunk long, bucket int, answer array<binary>, found array<struct<id: long, a: long, left: long, right: long>>"
+FOUND = pa.list_(pa.struct([(c, pa.int64()) for c in ("id", "a", "left", "right")]))
+BUCKETS, BUCKET_PLACES = 256, 1 << 21  # so many buckets at least, and one for so many words of text
 
 
 class _Numbers(dict):
@@ -96,11 +102,6 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made()
 
 
-def _beside(buckets: Buckets, relation: DataFrame, kept: DataFrame) -> DataFrame:
-    """Each chunk with its frequent phrases; the relation stays where it is."""
-    return relation.join(buckets.listed(kept, "kept", F.struct("phrase", "id")), "chunk")
-
-
 @contextmanager
 def _chunk_by_chunk(spark):
     """Hand chunks to the workers one at a time: a chunk is large, and a batch of rows would hold many."""
@@ -136,12 +137,14 @@ def _relation_row(chunk: int, full: np.ndarray, ids: np.ndarray) -> pa.RecordBat
     )
 
 
-def _frequent(row: dict, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """New number of each of a chunk's ``size`` phrases (-1: not frequent), and the ids by number."""
-    kept = row["kept"].values
+def _relation(row: dict, size: int, at: np.ndarray, phrase: np.ndarray, kept: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """Semi-join of the phrases at some places with the ``kept`` ones of ``size``, which are numbered in order of id."""
+    order = np.argsort(ids)
     number = np.full(size, -1, np.int64)
-    number[kept.field("phrase").to_numpy()] = np.arange(len(kept))
-    return number, kept.field("id").to_numpy()
+    number[kept[order]] = np.arange(len(kept))
+    full = np.full(row["n"], -1, np.int64)
+    full[at] = number[phrase]
+    return _relation_row(row["chunk"], full, ids[order])
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -149,38 +152,91 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             row = {name: batch.column(name)[i] for name in batch.schema.names}
-            yield {name: value if name in ("ids", "kept", "words") else value.as_py() for name, value in row.items()}
+            yield {name: value if name in ("ids", "kept") else value.as_py() for name, value in row.items()}
 
 
 def _keep_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Semi-join of the words with the frequent ones."""
-    for row in _rows(batches):
-        numbers = np.frombuffer(row["numbers"], np.int32)
-        number, ids = _frequent(row, int(numbers.max(initial=-1)) + 1)
-        full = np.full(len(numbers), -1, np.int64)
-        full[numbers >= 0] = number[numbers[numbers >= 0]]
-        yield _relation_row(row["chunk"], full, ids)
-
-
-def _keep_longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Join of a relation with itself, and semi-join of what comes out with the frequent phrases."""
-    for row in _rows(batches):
-        at, group, codes, _ = _longer(_places(row), len(row["ids"]))
-        number, ids = _frequent(row, len(codes))
-        full = np.full(row["n"], -1, np.int64)
-        full[at] = number[group]
-        yield _relation_row(row["chunk"], full, ids)
-
-
-def _group_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each chunk's phrases of one word more, with the ids of their two parts and their count."""
     for row in _rows(batches):
-        ids = row["ids"].values.to_numpy()
-        _, _, codes, counts = _longer(_places(row), len(ids))
-        for a in range(0, len(codes), OUT_ROWS):
-            some, n = codes[a : a + OUT_ROWS], counts[a : a + OUT_ROWS]
-            columns = [(row["chunk"] << PHRASE_BITS) + np.arange(a, a + len(some)), ids[some // len(ids)], ids[some % len(ids)], n]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["own", "left", "right", "n"])
+        numbers, kept = np.frombuffer(row["numbers"], np.int32), row["kept"].values
+        at = np.flatnonzero(numbers >= 0)
+        yield _relation(row | {"n": len(numbers)}, int(numbers.max(initial=-1)) + 1, at, numbers[at], kept.field("phrase").to_numpy(), kept.field("id").to_numpy())
+
+
+def _dealt(ids: np.ndarray, codes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's phrases in order of bucket, then of the ids of their two parts: the order, both ids, and the buckets that
+    have any with the places where each begins, and the end."""
+    left, right = (ids[x] for x in np.divmod(codes, max(1, len(ids))))
+    hashes = mixed(mixed(left.astype(np.uint64)) + right.astype(np.uint64)) >> np.uint64(32)
+    bucket = (hashes * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    own, begins = np.unique(bucket[order], return_index=True)
+    return order, left[order], right[order], own, np.append(begins, len(order))
+
+
+def _asker(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each chunk's phrases of one word more: the ids of their two parts and their count, one row per bucket."""
+        for row in _rows(batches):
+            ids = row["ids"].values.to_numpy()
+            _, _, codes, counts = _longer(_places(row), len(ids))
+            order, left, right, own, cuts = _dealt(ids, codes, buckets)
+            counts = counts[order]
+            asked = [[(b - a).tobytes(), steps(left[a:b].astype(np.uint64)), packed(right[a:b]), packed(counts[a:b])] for a, b in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(np.full(len(own), row["chunk"])), pa.array(asked, pa.list_(pa.binary()))], ["bucket", "chunk", "asked"])
+
+    return ask
+
+
+def _answerer(buckets: int, least: int, back: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = ["chunk", "bucket", "answer", "found"]
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Which of the phrases asked for are frequent and the place of each among the bucket's (``back``); the bucket's frequent phrases."""
+        for batch in batches:
+            for bucket, questions in zip(batch.column("bucket").to_pylist(), batch.column("questions")):
+                chunks, asked = zip(*(q.values() for q in questions.as_py()))
+                sizes = [int(np.frombuffer(q[0], np.int64)[0]) for q in asked]
+                left = np.concatenate([unsteps(q[1], n) for q, n in zip(asked, sizes)])
+                right, n = (np.concatenate([unpacked(q[i], n) for q, n in zip(asked, sizes)]) for i in (2, 3))
+                order = np.lexsort((right, left))
+                left, right = left[order].astype(np.int64), right[order].astype(np.int64)
+                new = np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
+                first = np.flatnonzero(new)
+                a = np.add.reduceat(n[order].astype(np.int64), first)
+                frequent = a >= least
+                place = np.cumsum(frequent) - 1
+                if back:
+                    same = np.empty(len(order), np.int64)
+                    same[order] = np.cumsum(new) - 1
+                    cuts = np.cumsum([0, *sizes])
+                    answers = []
+                    for b, e in zip(cuts, cuts[1:]):
+                        use = frequent[same[b:e]]
+                        answers.append([np.packbits(use).tobytes(), use.sum().tobytes(), steps(place[same[b:e][use]].astype(np.uint64))])
+                    yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array([bucket] * len(chunks), pa.int32()), pa.array(answers, pa.list_(pa.binary())), pa.nulls(len(chunks), FOUND)], names)
+                found = pa.StructArray.from_arrays([place[frequent] * buckets + bucket, a[frequent], left[first][frequent], right[first][frequent]], ["id", "a", "left", "right"])
+                for b in range(0, len(found), OUT_ROWS):
+                    some = found[b : b + OUT_ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([bucket], pa.int32()), pa.nulls(1, pa.list_(pa.binary())), pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some)], names)
+
+    return answer
+
+
+def _keeper(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Join of a relation with itself, and semi-join of what comes out with the frequent phrases."""
+        for row in _rows(batches):
+            ids = row["ids"].values.to_numpy()
+            at, group, codes, _ = _longer(_places(row), len(ids))
+            order, _, _, own, cuts = _dealt(ids, codes, buckets)
+            use, found = [], []
+            for x, n in zip(sorted(row["answers"], key=lambda x: x["bucket"]), np.diff(cuts)):
+                frequent, some, places = x["answer"]
+                use.append(np.unpackbits(np.frombuffer(frequent, np.uint8), count=n).astype(bool))
+                found.append(unsteps(places, int(np.frombuffer(some, np.int64)[0])).astype(np.int64) * buckets + x["bucket"])
+            yield _relation(row, len(codes), at, group, order[np.concatenate(use)], np.concatenate(found))
+
+    return keep
 
 
 def _counted(groups: DataFrame, keys: list[str], least: int) -> DataFrame:
@@ -244,17 +300,19 @@ def collocations(
     totals = stored(words.groupBy("lang").agg(F.sum("n").alias("n")))
     kept = _counted(words, ["lang", "word"], least)
     levels = [_phrases(kept, None)]
+    many = max(BUCKETS, (totals.agg(F.sum("n").alias("n")).first().n or 0) // BUCKET_PLACES)
     with _chunk_by_chunk(docs.sparkSession):
-        relation = buckets.stored(map_arrow(_beside(buckets, chunks.select("chunk", "numbers"), kept), _keep_words, RELATION))
+        beside = chunks.select("chunk", "numbers").join(buckets.listed(kept, "kept", F.struct("phrase", "id")), "chunk")
+        relation = buckets.stored(map_arrow(beside, _keep_words, RELATION))
         for length in range(2, most_words + 1):
-            groups = map_arrow(relation, _group_counts, GROUPS)
-            if length == most_words:  # nothing is joined back any more
-                last = groups.groupBy("left", "right").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
-                levels.append(_phrases(last.withColumn("id", F.lit(None).cast("long")), levels[-1]))
-            else:
-                kept = _counted(groups, ["left", "right"], least)
-                levels.append(_phrases(kept, levels[-1]))
-                relation = buckets.stored(map_arrow(_beside(buckets, relation, kept), _keep_longer, RELATION))
+            back = length < most_words  # else nothing is joined back any more
+            asked = map_arrow(relation, _asker(many), ASKED).repartition(buckets.count, "bucket")
+            asked = asked.groupBy("bucket").agg(F.collect_list(F.struct("chunk", "asked")).alias("questions"))
+            answers = stored(map_arrow(asked, _answerer(many, least, back), ANSWERED))
+            levels.append(_phrases(answers.filter("chunk IS NULL").select(F.inline("found")), levels[-1]))
+            if back:
+                listed = buckets.listed(answers.filter("chunk IS NOT NULL"), "answers", F.struct("bucket", "answer"))
+                relation = buckets.stored(map_arrow(relation.join(listed, "chunk"), _keeper(many), RELATION))
     buckets.drop()
     scored = None
     for length, (phrases, longer) in enumerate(zip(levels, [*levels[1:], None]), 1):

@@ -6,6 +6,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 from lineout.llm import phrases
 from tests.llm.helpers import CLASHING, LOWER
 
@@ -65,6 +68,22 @@ def test_small_chunks_and_long_phrases(spark, monkeypatch):
     assert mined(spark, rows, most_words=2, least=3, top=5) == brute(rows, most=2, least=3, top=5)
 
 
+def test_a_chunk_asks_once_for_each_phrase_in_few_bytes():
+    full, ids = np.random.default_rng(4).integers(-1, 300, 40_000), np.arange(300) * 7 + (3 << 40)
+    (asked,) = phrases._asker(5)(iter([phrases._relation_row(9, full, ids)]))
+    pairs = Counter((ids[a], ids[b]) for a, b in zip(full, full[1:]) if a >= 0 and b >= 0)
+    assert asked.column("bucket").to_pylist() == [0, 1, 2, 3, 4] and set(asked.column("chunk").to_pylist()) == {9}
+    assert sum(len(x) for row in asked.column("asked").to_pylist() for x in row) < 16 * len(pairs)  # four longs each before
+    twice = [[{"chunk": c, "asked": x} for c in (9, 10)] for x in asked.column("asked").to_pylist()]
+    kind = pa.list_(pa.struct([("chunk", pa.int64()), ("asked", pa.list_(pa.binary()))]))
+    questions = pa.RecordBatch.from_arrays([asked.column("bucket"), pa.array(twice, kind)], ["bucket", "questions"])
+    answers = [r for batch in phrases._answerer(5, 4, True)(iter([questions])) for r in batch.to_pylist()]
+    found = [f for r in answers if r["chunk"] is None for f in r["found"]]
+    assert {(f["left"], f["right"]): f["a"] for f in found} == {p: 2 * n for p, n in pairs.items() if 2 * n >= 4}
+    assert len({f["id"] for f in found}) == len(found) > 1000
+    assert sum(len(x) for r in answers if r["chunk"] == 9 for x in r["answer"]) < 3 * len(pairs)
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "en"), (2, "", "en"), (3, " \t ", None), (4, "...", "en"), (5, "one", "en"), (None, "a b c", "fr")]
     rows += [(6, "a b " * 100_000, "en"), (7, "x" * 300_000 + " y", "en"), (8, "Same words here", "de")] + [(8, "Same words here", "de")] * 9
